@@ -11,6 +11,7 @@ from rivulet.llm import (
     mixing,
     near_duplicates,
     secrets,
+    substring_dedup,
 )
 
 QUERIES = {
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_language_id": language_id.op5_language_id,
     "op6_html_extract": html_extract.op6_html_extract,
     "op7_chat_format": chat_format.op7_chat_format,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_near_duplicates": near_duplicates.op9_near_duplicates,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
@@ -27,5 +29,6 @@ QUERIES = {
 SQL = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op7_chat_format": chat_format.OP7_SQL,
+    "op8_substring_dedup": substring_dedup.OP8_SQL,
     "op10_secret_scan": secrets.OP10_SQL,
 }
