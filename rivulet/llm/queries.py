@@ -12,12 +12,14 @@ from rivulet.llm import (
     near_duplicates,
     secrets,
     substring_dedup,
+    toxicity,
 )
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_fingerprint": fingerprint.op3_fingerprint,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_language_id": language_id.op5_language_id,
     "op6_html_extract": html_extract.op6_html_extract,
     "op7_chat_format": chat_format.op7_chat_format,
