@@ -1,17 +1,6 @@
-"""Named queries over the given tables, and their SQL equivalents."""
+"""Named queries over the given tables, one for each operator, and their SQL equivalents."""
 
-from __future__ import annotations
+from rivulet.plans import aggregates, derived, functions, joined, relational, text  # noqa: F401
+from rivulet.plans._registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-Query = tuple
-
-
-def _pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return items.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
-
-
-QUERIES = {"pricing_summary": _pricing_summary}
-SQL = {"pricing_summary": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL"}
+__all__ = ["QUERIES", "SQL"]
