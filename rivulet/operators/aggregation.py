@@ -116,11 +116,6 @@ def percentile_approx(x: Expr, p: int) -> Column:
     return F.percentile_approx(expr(x), _share(p)).alias(f"percentile_approx({name_of(x)}, {p})")
 
 
-def take(x: Expr, n: int = 10) -> Column:
-    """The ``n`` smallest non-null values, in order: a bounded and repeatable choice."""
-    return F.slice(F.array_sort(F.collect_list(field(x))), 1, n).alias(f"take({name_of(x)}, {n})")
-
-
 def stats(*aggregates: Column, by: Sequence[Expr | Span] | Expr | Span = ()) -> Step:
     """Groups and aggregates: columns are the aggregates, then the group fields, then the span.
 
@@ -145,6 +140,23 @@ def stats(*aggregates: Column, by: Sequence[Expr | Span] | Expr | Span = ()) ->
     return step
 
 
+def take(column: str, n: int = 10, by: str | list[str] = (), alias: str | None = None) -> Step:
+    """The ``n`` smallest non-null values of each group, in order, as an array.
+
+    Spark keeps ``n`` rows of a group on the map side already, so no group is gathered.
+    """
+    groups = names(by)
+
+    def step(df: DataFrame) -> DataFrame:
+        order = Window.partitionBy(*map(field, groups)).orderBy(field(column))
+        few = df.where(field(column).isNotNull()).withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= n)
+        values = F.array_sort(F.collect_list(field(column))).alias(alias or f"take({column}, {n})")
+        out = few.groupBy(*groups).agg(values)
+        return out.select(*out.columns[len(groups):], *groups)
+
+    return step
+
+
 def eventstats(*aggregates: Column, by: Sequence[Expr | Span] | Expr | Span = ()) -> Step:
     """The group's aggregates on every row, behind its other columns.
 

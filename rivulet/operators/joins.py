@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.functions.ip import ip_to_int, is_ipv4
@@ -130,34 +131,33 @@ def self_correlate(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 GEO_PROPERTIES = (
     "COUNTRY_ISO_CODE", "COUNTRY_NAME", "CONTINENT_NAME", "REGION_ISO_CODE", "REGION_NAME", "CITY_NAME", "TIME_ZONE", "LOCATION",
 )
-_GEO_BROADCAST_ROWS = 2_000_000
+_CELLS = ((True, 1 << 16), (False, 1 << 112))  # addresses in a cell: a /16 of each version
 
 
 def geoip(name: str, ip: Expr, ranges: DataFrame, properties: Sequence[str] = ()) -> Step:
     """Add where an address lies, from a table of disjoint ranges (start inclusive, end exclusive).
 
     One property gives a plain column, several or none a struct; addresses in no range give nulls.
-    A table of up to two million ranges is broadcast as it is; a larger one is cut into /16-like
-    cells, so that the join is by equality of cells first.
+    Ranges are cut into cells, so that addresses meet ranges by an equality and only then by
+    comparison; Spark broadcasts the ranges if they are small enough for it, and else shuffles.
     """
     wanted = [p.upper() for p in properties] or list(GEO_PROPERTIES)
     if len(set(wanted)) != len(wanted) or set(wanted) - set(GEO_PROPERTIES):
         raise ValueError("properties must be known and named once")
 
+    def cell(address: Column, v4: Column) -> Column:
+        width = F.when(v4, F.lit(Decimal(_CELLS[0][1]))).otherwise(F.lit(Decimal(_CELLS[1][1])))
+        return F.floor(address.cast("decimal(38,0)") / width).cast("bigint")
+
     def step(df: DataFrame) -> DataFrame:
         value = F.col(wanted[0].lower()) if len(properties) == 1 else F.struct(*[F.col(p.lower()).alias(p.lower()) for p in wanted])
         side = ranges.select(F.col("ip_range_start").alias("__s"), F.col("ip_range_end").alias("__e"), F.col("ipv4").alias("__v4"), value.alias("__geo"))
+        side = side.withColumn("__cell", F.explode(F.sequence(cell(F.col("__s"), F.col("__v4")), cell(F.col("__e") - 1, F.col("__v4")))))
         left = df.withColumn("__ip", ip_to_int(field(ip))).withColumn("__is4", is_ipv4(field(ip)))
-        inside = (F.col("__ip") >= F.col("__s")) & (F.col("__ip") < F.col("__e")) & (F.col("__is4") == F.col("__v4"))
-        if ranges.count() <= _GEO_BROADCAST_ROWS:
-            joined = left.join(F.broadcast(side), inside, "left")
-        else:
-            cell = F.floor(F.col("__ip") / 65536)
-            side = side.where("__v4").withColumn("__cell", F.explode(F.sequence(F.floor(F.col("__s") / 65536), F.floor((F.col("__e") - 1) / 65536))))
-            joined = left.withColumn("__mine", cell).join(side, (F.col("__mine") == F.col("__cell")) & inside, "left").drop("__mine", "__cell")
+        left = left.withColumn("__mine", cell(F.col("__ip"), F.col("__is4")))
+        inside = (F.col("__ip") >= F.col("__s")) & (F.col("__ip") < F.col("__e"))
+        joined = left.join(side, (F.col("__is4") == F.col("__v4")) & (F.col("__mine") == F.col("__cell")) & inside, "left")
         kept = [F.col(quoted(c)) for c in df.columns if c.lower() != name.lower()]
         return joined.select(*kept, F.col("__geo").alias(name))
 
     return step
-
-

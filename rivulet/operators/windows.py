@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.operators._cols import Expr, Step, field, fresh, name_of, quoted, sort_keys
+from rivulet.scratch import save
+
+_PIECE = 250_000  # rows
 
 
 @dataclass(frozen=True)
@@ -34,18 +37,24 @@ def wma(n: int, column: Expr, alias: str | None = None) -> Trend:
 
 
 def trendline(*trends: Trend, sort: Sequence[Expr] = (), by: Sequence[Expr] = ()) -> Step:
-    """Moving averages in the order of ``sort``.
+    """Moving averages in the order of ``sort``, over the whole table or (``by``, an extension) in each group.
 
-    The frame runs over the whole table in one order; ``by`` (an extension) keeps a frame to each
-    group, which is what a large table needs: without it all rows meet in one task, and that is
-    refused by nothing but noted by Spark.
+    A frame over the whole table is not one task: rows are numbered in order, cut into pieces, and
+    each piece gets the few rows before it that its first frames reach.
     """
     if not sort and any(t.kind == "wma" for t in trends):
         raise ValueError("a weighted average needs an order")
+    reach = max(t.n for t in trends) - 1
 
     def step(df: DataFrame) -> DataFrame:
-        order = sort_keys(sort) or [F.monotonically_increasing_id()]
-        base = Window.partitionBy(*map(field, by)).orderBy(*order)
+        if by:
+            base, rows = Window.partitionBy(*map(field, by)).orderBy(*sort_keys(sort)) if sort else Window.partitionBy(*map(field, by)).orderBy(F.monotonically_increasing_id()), df
+        else:
+            row = numbered(df, sort, "__row").withColumn("__piece", F.floor((F.col("__row") - 1) / _PIECE))
+            last = (F.col("__piece") + 1) * _PIECE - F.col("__row") < reach  # also in the next piece's first frames
+            pieces = F.when(last, F.array(F.col("__piece"), F.col("__piece") + 1)).otherwise(F.array("__piece"))
+            rows = row.withColumn("__in", F.explode(pieces))
+            base = Window.partitionBy("__in").orderBy("__row")
         new = {}
         for t in trends:
             frame = base.rowsBetween(1 - t.n, 0)
@@ -55,7 +64,8 @@ def trendline(*trends: Trend, sort: Sequence[Expr] = (), by: Sequence[Expr] = ()
             else:
                 value = sum((F.nth_value(field(t.column), i + 1).over(frame) * (i + 1) for i in range(t.n)), F.lit(0)) / (t.n * (t.n + 1) / 2)
             new[t.alias or f"{name_of(t.column)}_trendline"] = F.when(full, value)
-        return df.withColumns(new)
+        out = rows.withColumns(new)
+        return out if by else out.where("__in = __piece").drop("__in", "__piece", "__row")
 
     return step
 
@@ -63,13 +73,14 @@ def trendline(*trends: Trend, sort: Sequence[Expr] = (), by: Sequence[Expr] = ()
 def numbered(df: DataFrame, order: Sequence[Expr], name: str) -> DataFrame:
     """Row numbers from 1 in a global order, without one task that sees all rows.
 
-    Rows are sorted by ranges of the keys; each range is counted, and its rows are numbered from
-    the sum of the counts before it.
+    Rows are sorted by ranges of the keys and written once with their partition and their place in
+    it; each partition is counted, and its rows are numbered from the sum of the counts before it.
     """
     part, place = fresh(df, "__part"), fresh(df, "__place")
     ranged = df.repartitionByRange(*sort_keys(order)).sortWithinPartitions(*sort_keys(order)) if order else df
     marked = ranged.withColumn("__id", F.monotonically_increasing_id())
     marked = marked.withColumn(part, F.shiftright("__id", 33)).withColumn(place, F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id")
+    marked = save(marked, "numbered")
     counts = marked.groupBy(part).agg((F.max(place) + 1).alias("__n"))  # one row for each partition
     before = counts.select(F.col(part).alias("__p"), F.coalesce(F.sum("__n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     out = marked.join(F.broadcast(before), F.col(part) == F.col("__p"))

@@ -57,7 +57,7 @@ def stats_approximate(t: Tables) -> DataFrame:
 
 @query("SELECT array_to_string(list(s_suppkey ORDER BY s_suppkey)[1:3], ',') AS first_three, s_nationkey FROM supplier GROUP BY s_nationkey")
 def stats_take(t: Tables) -> DataFrame:
-    return pipe(t.supplier, stats(O.take("s_suppkey", 3).alias("first"), by="s_nationkey")).select(F.array_join("first", ",").alias("first_three"), "s_nationkey")
+    return pipe(t.supplier, O.take("s_suppkey", 3, by="s_nationkey", alias="first")).select(F.array_join("first", ",").alias("first_three"), "s_nationkey")
 
 
 @query("""

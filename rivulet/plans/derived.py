@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.indexes import covering, skipping, views
 from rivulet.plans._registry import Tables, query
+from rivulet.scratch import new_place
 from rivulet.streaming import refresh_view, tumble
 
 
 def _place(t: Tables, name: str) -> str:
-    """A new folder for derived tables, in the shared folder where the session has one."""
-    top = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-rivulet-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return new_place(t.spark, name)
 
 
 @query("SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem WHERE l_orderkey >= 100 AND l_orderkey < 200 AND l_returnflag = 'A'")
