@@ -24,6 +24,7 @@ K1, B = 1.2, 0.75
 _BLOCK = 32  # postings under one block maximum
 _BLOCK_WORDS = 1_000_000  # words of test items in one broadcast index
 _OVERLAP_WORDS = 3
+_LIGHT = 0.3  # of an item's threshold
 
 
 @dataclass
@@ -42,6 +43,10 @@ class Index:
     window: int
     question: list  # shingle hashes
     answer: list
+    key_begin: np.ndarray  # of each term's key postings: items that need some of it
+    key_item: np.ndarray
+    key_weight: np.ndarray
+    key_least: np.ndarray  # what an item's key terms must score in a passage that reaches its threshold
     share: float
     overlap: float
 
@@ -129,10 +134,28 @@ def build_index(rows: list, n_items: int, mean_words: float, share: float, overl
     longest = max(r["n_words"] for _, _, r in weights)
     return Index(
         [r["item"] for _, _, r in weights], vocabulary, begin, item, value, np.maximum.reduceat(value, begin[:-1]),
-        np.array(block_begin), np.array(last), np.array(top), 2 * longest, *parts, share, overlap,
+        np.array(block_begin), np.array(last), np.array(top), 2 * longest, *parts, *_key_terms(term, vocabulary, item, value, len(weights)), share, overlap,
     )
 
 
+def _key_terms(term: np.ndarray, vocabulary: np.ndarray, item: np.ndarray, value: np.ndarray, n_items: int) -> tuple[np.ndarray, ...]:
+    """Postings of each item's heaviest terms, such that all its others together stay below ``_LIGHT``.
+
+    A passage that reaches the threshold of 1 has at least 1 less that rest from key terms.
+    """
+    order = np.lexsort((value, item))  # lightest first
+    upto = np.cumsum(value[order])
+    first = np.searchsorted(item[order], np.arange(n_items))
+    upto -= np.repeat(np.append(0.0, upto)[first], np.diff(np.append(first, len(item))))
+    light = np.empty(len(item), dtype=bool)
+    light[order] = upto < _LIGHT
+    rest = np.zeros(n_items)
+    np.add.at(rest, item[light], value[light])
+    key = np.flatnonzero(~light)
+    begin = np.searchsorted(np.searchsorted(vocabulary, term[key]), np.arange(len(vocabulary) + 1))
+    return begin, item[key], value[key], 1.0 - rest - 1e-9
+
+
 def block_max_wand(index: Index, terms: np.ndarray, bound: float = 1.0) -> list[tuple[int, float]]:
     """All items whose score for the distinct ``terms`` reaches ``bound``, with their scores."""
     found, tops = [], index.term_max
@@ -176,6 +199,24 @@ def block_max_wand(index: Index, terms: np.ndarray, bound: float = 1.0) -> list[
     return found
 
 
+def _promising(
+    index: Index, term: np.ndarray, known: np.ndarray, first: np.ndarray, first_window: np.ndarray, windows: np.ndarray, step: int
+) -> np.ndarray:
+    """Windows in which some item's key terms score enough: the bound of WAND, with each item as a block."""
+    at = np.flatnonzero(known & (index.key_begin[term + 1] > index.key_begin[term]))
+    text = np.searchsorted(first, at, side="right") - 1
+    place = (at - first[text]) // step
+    window = np.concatenate([np.minimum(place, windows[text] - 1), np.maximum(place - 1, 0)]) + np.tile(first_window[text], 2)
+    pair = np.unique(window * len(index.vocabulary) + np.tile(term[at], 2))  # a word counts once in a window
+    window, t = np.divmod(pair, len(index.vocabulary))
+    count = index.key_begin[t + 1] - index.key_begin[t]
+    posting = np.repeat(index.key_begin[t] - np.cumsum(count) + count, count) + np.arange(count.sum())
+    pair = np.repeat(window, count) * len(index.items) + index.key_item[posting]
+    pair, where = np.unique(pair, return_inverse=True)
+    score = np.bincount(where, weights=index.key_weight[posting], minlength=len(pair))
+    return np.unique(pair[score >= index.key_least[pair % len(index.items)]] // len(index.items))
+
+
 def leaks(index: Index, texts: list[str | None]) -> dict[int, list[tuple]]:
     """For the number of a text: (item, score as a share of the item's own, question and answer overlap, first word)."""
     out: dict[int, list[tuple]] = {}
@@ -185,15 +226,13 @@ def leaks(index: Index, texts: list[str | None]) -> dict[int, list[tuple]]:
     term = np.searchsorted(index.vocabulary, words)
     term[term == len(index.vocabulary)] = 0
     known = index.vocabulary[term] == words
-    reach = np.zeros(len(words) + 1)
-    np.cumsum(np.where(known, index.term_max[term], 0.0), out=reach[1:])
     step = index.window // 2
     count = np.diff(first)
     windows = np.maximum(1, -(-count // step) - 1)
     which = np.repeat(np.arange(len(texts)), windows)
     at = (np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)) * step + first[which]
     end = np.minimum(at + index.window, first[which + 1])
-    for k in np.flatnonzero(reach[end] - reach[at] >= 1.0):  # repeats of a word only raise this bound
+    for k in _promising(index, term, known, first, np.cumsum(windows) - windows, windows, step).tolist():
         inside = slice(int(at[k]), int(end[k]))
         terms = np.unique(term[inside][known[inside]])
         if index.term_max[terms].sum() < 1.0:
