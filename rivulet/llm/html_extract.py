@@ -100,6 +100,9 @@ def lines(page: str | None) -> list[Line]:
                 flush()
                 at = end.end() if end else len(page)
             elif tag not in _VOID and not attributes.endswith("/"):
+                if tag in ("body", "main"):  # whatever was left open before it ends here
+                    stack.clear()
+                    chrome = article = 0
                 c, a = _kind(tag, attributes)
                 if c or a:
                     flush()

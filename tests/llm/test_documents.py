@@ -71,6 +71,18 @@ def test_differencing_deletes_shared_lines(spark):
     assert got[9] == "Title 9 Body 9 & more line Shared line" and got[10] == ""
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<head><title>T<body><p>One", "One"), ("<nav>Menu<main><p>Two</main>after", "Two"), ("<p title=\"a>b\">Three &lt;b&gt; &#233;", "Three <b> é"),
+        ("no markup at all", "no markup at all"), ("<p>a<b>b</b>c</p>", "abc"), ("<script>x<p>", ""), ("<p>x<!-- <p>y", "x"), ("<a href='x>Four</a>", "Four"),
+        ("<article>A<aside>B</aside><div class='ad'>C</div>D</article>E", "A D"), ("a < b", "a < b"), ("", ""), (None, ""),
+    ],
+)
+def test_lines_of_broken_pages(page, want):
+    assert html_extract.main_text(html_extract.lines(page), []) == want
+
+
 def test_copies_of_a_page_keep_their_text(spark):
     rows = [(i, f"https://h.example/a/{i}", "<p>One text</p><p>for both</p>") for i in range(2)]
     assert {r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"One text for both"}
