@@ -1,51 +1,14 @@
-"""Tables that cut lineage, written to the folder that all executors share."""
+"""Written intermediate tables, and what operators ask of the session."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from rivulet.scratch import save, shared_dir
+from rivulet.shipping import ship
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-rivulet-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return the table that was written.
-
-    Later steps read the files, so a lost executor costs a re-read, not a recomputation.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["save", "shared_dir", "ship", "shuffle_partitions"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors (once an application), so that it need not be installed there."""
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        top = Path(__file__).resolve().parents[1]
-        target = Path(tempfile.mkdtemp(prefix="spark-rivulet-")) / "rivulet_llm.zip"
-        with zipfile.ZipFile(target, "w") as z:
-            for p in [top / "__init__.py", *sorted((top / "llm").glob("*.py"))]:
-                z.write(p, p.relative_to(top.parent))
-        spark.sparkContext.addPyFile(str(target))
-        _shipped.add(app)
-    return spark
