@@ -85,3 +85,12 @@ def test_dates(spark):
     assert one(spark, R.timestampdiff("hour", F.lit("2020-01-01").cast("timestamp"), F.lit("2020-01-02").cast("timestamp"))) == 24
     assert str(one(spark, (F.lit("2020-01-01").cast("timestamp") + R.interval(3, "millisecond")).cast("timestamp_ntz"))) == "2020-01-01 00:00:00.003000"
     assert one(spark, R.utc_timestamp()) is not None
+
+
+def test_every_name_has_a_function():
+    from rivulet.functions.catalogue import NAMES, function
+
+    assert all(callable(function(n)) for names in NAMES.values() for n in names.split())
+    assert function("DATE_ADD") is R.date_add
+    with pytest.raises(ValueError):
+        function("addtime")
