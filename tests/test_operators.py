@@ -222,3 +222,26 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     plan = O.explain(df, "formatted")
     assert "GreaterThan(o_totalprice,1000.0)" in plan
     assert "ReadSchema: struct<o_orderstatus:string,o_totalprice:double>" in plan
+
+
+def test_moving_averages_over_pieces(spark, monkeypatch):
+    """Frames that reach into the piece before see its last rows."""
+    monkeypatch.setattr("rivulet.operators.windows._PIECE", 5)
+    values = [float((i * 37) % 23) for i in range(43)]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double").repartition(3)
+    got = pipe(df, O.trendline(O.sma(4, "v", "a"), O.wma(3, "v", "w"), sort=["i"]), O.sort("i")).collect()
+    for i, r in enumerate(got):
+        assert r["a"] == (None if i < 3 else pytest.approx(sum(values[i - 3 : i + 1]) / 4))
+        assert r["w"] == (None if i < 2 else pytest.approx((values[i - 2] + 2 * values[i - 1] + 3 * values[i]) / 6))
+
+
+def test_row_numbers_follow_the_order(spark):
+    df = spark.range(1000).selectExpr("id", "(id * 7919) % 1009 as k").repartition(7)
+    rows = O.numbered(df, ["-k"], "n").orderBy("n").collect()
+    assert [r["n"] for r in rows] == list(range(1, 1001)) and [r["k"] for r in rows] == sorted((r["k"] for r in rows), reverse=True)
+    assert O.numbered(df.limit(0), ["k"], "n").count() == 0
+
+
+def test_take_keeps_few_rows(people):
+    df = pipe(people, O.take("salary", 2, by="occupation", alias="low"))
+    assert {(r["occupation"], tuple(r["low"])) for r in df.collect()} >= {("Doctor", (120000, 120000)), ("Artist", (70000,)), (None, (0,))}
