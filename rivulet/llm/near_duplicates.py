@@ -237,7 +237,7 @@ def near_duplicates(
         .join(roots.join(classes, "root").select("node", "class"), "node", "left")
         .select("node", F.coalesce("class", "first").alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
     )
-    linked = of_node.where(F.col("links") > 0)
+    linked = save(of_node.where(F.col("links") > 0), "linked")  # read again, Spark can split the join of a node with many copies
     return signed.select("doc_id", "text_key", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(linked, "node", "left").select(
         "doc_id", "text_key",
         F.coalesce("class", "doc_id").alias("class_id"),
