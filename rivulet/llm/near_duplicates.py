@@ -169,7 +169,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, recall: float = 0.999, n: int = 5
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, recall: float = 0.9999, n: int = 5
 ) -> DataFrame:
     """One row per input row: doc_id, text_key, class_id (smallest id it is linked to, over any steps), n_links.
 

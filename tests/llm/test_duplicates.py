@@ -47,7 +47,7 @@ def test_near_duplicates_of_many(spark):
 
 
 def test_recall_decides_the_prefix():
-    assert prefix_length(0.8, 0.999) < prefix_length(0.95, 0.999) and prefix_length(0.8, 1.1) == 1
+    assert prefix_length(0.8, 0.9999) < prefix_length(0.95, 0.9999) and prefix_length(0.8, 1.1) == 1
 
 
 def test_components_of_a_long_chain(spark):
