@@ -1,15 +1,20 @@
 """Removal of long substrings that an earlier document also has, by suffix arrays.
 
 1. Documents are packed into blocks of a few MB, compressed, so that each task works on arrays.
-2. Every window of ``length`` bytes is known by the smallest hash of the short substrings inside
-   it. Equal windows have equal smallest hashes, so windows meet by it; hashes that only one
-   document has are dropped. Copies of a whole text take part as one, the smallest id.
-3. What is left goes, as fragments of neighbouring windows, to one place for each hash. Equal
+2. Texts are cut into pieces where their own bytes say so. A piece that, with the bytes its last
+   windows reach into, also stands in a document with a smaller id is removed as it is: all its
+   windows start there, too. Only the smallest document of each such piece takes part from here on.
+3. Every window of ``length`` bytes has an anchor: the short substring in it with the smallest
+   hash (the leftmost of equal ones). A window is known by the hash of its anchor and of the bytes
+   on the anchor's longer side. Equal windows have equal anchors, so windows meet by that hash;
+   hashes that only one document has are dropped. Only 32 bits of a hash travel, besides the place
+   they go to: a chance match costs work, not correctness.
+4. What is left goes, as fragments of neighbouring windows, to one place for each hash. Equal
    fragments collapse; the others are sorted as one suffix array, in which windows whose common
    prefix with their neighbour reaches ``length`` are the same. Each window's smallest document
    tells which other documents lose it. A hash that very many blocks have is dealt out by the
    windows' own bytes instead, so that no place gathers it.
-4. The removed ranges go back to the blocks.
+5. The removed ranges go back to the blocks.
 """
 
 from __future__ import annotations
@@ -30,22 +35,26 @@ from rivulet.llm._tables import table
 from rivulet.llm._text import mix
 from rivulet.llm.suffix_array import U, common_prefixes, eights, suffix_array
 
-_SHORT = 24  # bytes of the substrings whose hashes are compared
+_SHORT = 16  # bytes of the substrings whose hashes are compared
 _STEP = 1 << 18  # windows hashed at a time
 _BLOCK = 2 << 20
 _SORTED = 2 << 20  # bytes in one suffix array
 _HOT_BLOCKS = 24
-_PER_PLACE = 4 << 20  # bytes of text for each place
+_PIECE = U(127)  # one in so many positions and one starts a piece
+_DIGEST = 12  # bytes of a piece's digest that travel, besides its place
+_BROADCAST_PIECES = 16_000_000
+_PER_PLACE = 8 << 20  # bytes of text for each place
 _NO_ID = (1 << 63) - 1
+_PLACE = U((1 << 20) - 1)
 _C1, _C2 = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 
 
 def _pack(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """Blocks: id, documents' ids, sizes and digests, and their bytes (compressed)."""
-    names = ["block", "ids", "sizes", "digests", "payload"]
+    """Blocks: id, documents' ids and sizes, and their bytes (compressed)."""
+    names = ["block", "ids", "sizes", "payload"]
 
     def packed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=6).compress
         part, number = TaskContext.get().partitionId(), 0
         ids: list = []
         data: list[bytes] = []
@@ -55,8 +64,7 @@ def _pack(docs: DataFrame, block_bytes: int) -> DataFrame:
             return pa.record_batch(
                 [
                     pa.array([part << 32 | number], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
-                    pa.array([[len(d) for d in data]], pa.list_(pa.int64())),
-                    pa.array([[hashlib.sha256(d).digest() for d in data]], pa.list_(pa.binary())), pa.array([pack(b"".join(data))], pa.binary()),
+                    pa.array([[len(d) for d in data]], pa.list_(pa.int64())), pa.array([pack(b"".join(data))], pa.binary()),
                 ],
                 names,
             )
@@ -72,49 +80,110 @@ def _pack(docs: DataFrame, block_bytes: int) -> DataFrame:
         if ids:
             yield block()
 
-    return docs.mapInArrow(packed, "block long, ids array<long>, sizes array<long>, digests array<binary>, payload binary")
+    return docs.mapInArrow(packed, "block long, ids array<long>, sizes array<long>, payload binary")
 
 
-def _windows(data: np.ndarray, begin: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one smallest hash: hash, first window, windows, document number."""
+def _pieces(data: np.ndarray, begin: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Pieces of the documents: first window, end of the windows that start in it, and document number."""
+    cuts = [begin[size >= length]]
+    stop = begin + size
+    for low in range(0, len(data), _STEP):
+        x = eights(data[low : low + _STEP + _SHORT])
+        n = min(_STEP, len(x) - _SHORT)
+        if n > 0:
+            at = np.flatnonzero((mix(x[:n] * _C2 + x[8 : n + 8]) & _PIECE) == 0) + low
+            cuts.append(at[at + _SHORT <= stop[np.searchsorted(begin, at, side="right") - 1]])
+    start = np.unique(np.concatenate(cuts))
+    doc = np.searchsorted(begin, start, side="right") - 1
+    end = np.minimum(np.append(start[1:], len(data)), stop[doc] - length + 1)
+    full = end > start
+    return start[full], end[full], doc[full]
+
+
+def _segments(pieces: tuple[np.ndarray, ...], gone: list[bytes] | None) -> tuple[np.ndarray, ...]:
+    """Neighbouring pieces that take part, as one: first window, end of windows, document number."""
+    start, end, doc = pieces
+    keep = np.ones(len(start), dtype=bool)
+    keep[_numbers(gone)] = False
+    new = keep.copy()
+    new[1:] &= ~(keep[:-1] & (end[:-1] == start[1:]) & (doc[:-1] == doc[1:]))
+    first = np.flatnonzero(new)
+    count = np.cumsum(keep)
+    last = np.flatnonzero(keep)[np.append(count[first[1:] - 1], count[-1]) - 1] if len(first) else first
+    return start[first], end[last], doc[first]
+
+
+def _numbers(packed: list[bytes] | None) -> np.ndarray:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return np.concatenate([np.zeros(0, dtype=np.int32), *[np.frombuffer(unpack(x), dtype=np.int32) for x in packed or []]])
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Compressed bytes of an array: the first, second... bytes of all numbers stand together."""
+    return zstandard.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T).tobytes(), 3)
+
+
+def _spread(packed: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    data = np.frombuffer(zstandard.decompress(packed), dtype=np.uint8)
+    return np.ascontiguousarray(data.reshape(width, -1).T).view(kind).ravel()
+
+
+def _windows(data: np.ndarray, start_: np.ndarray, stop_: np.ndarray, doc_: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one hash: hash, first window, windows, document number."""
     out: list[list[np.ndarray]] = [[], [], [], []]
-    last = begin + size - length + 1  # windows of a document end before
     wide = length - _SHORT + 1
+    half = (length - _SHORT) // 2
+    more = min(16, half) if half >= 8 else 0  # bytes beside the anchor
     for low in range(0, max(0, len(data) - length + 1), _STEP):
         high = min(low + _STEP, len(data) - length + 1)
-        part = data[low : high + length - 1]
-        x = eights(part)
-        n = len(part) - _SHORT + 1
-        h = mix(x[:n] * _C1 + mix(x[8 : n + 8] * _C2 + x[16 : n + 16]))
+        first = max(0, np.searchsorted(start_, low, side="right") - 1)
+        own = np.arange(first, np.searchsorted(start_, high))
+        start, stop = np.maximum(start_[own], low), np.minimum(stop_[own], high)
+        own, start, stop = (v[stop > start] for v in (own, start, stop))
+        if not len(own):
+            continue
+        x = eights(data[low : high + length - 1])
+        n = len(x) - _SHORT + 1
+        h = mix(x[:n] * _C1 + mix(x[8 : n + 8] * _C2))
+        key = (h & ~_PLACE) | np.arange(n, dtype=U)  # unique, and its end says where
         reach = 1
         while reach * 2 <= wide:
-            h = np.minimum(h[:-reach], h[reach:])
+            key = np.minimum(key[:-reach], key[reach:])
             reach *= 2
         if reach < wide:
-            h = np.minimum(h[: len(h) - (wide - reach)], h[wide - reach :])
-        first = np.searchsorted(begin, low, side="right") - 1
-        for_docs = np.arange(max(first, 0), np.searchsorted(begin, high))
-        start, stop = np.maximum(begin[for_docs], low), np.minimum(last[for_docs], high)
-        for_docs, start, stop = (v[stop > start] for v in (for_docs, start, stop))
-        if not len(for_docs):
-            continue
+            key = np.minimum(key[: len(key) - (wide - reach)], key[wide - reach :])
         new = np.empty(high - low, dtype=bool)
-        new[0], new[1:] = True, h[1:] != h[:-1]
+        new[0], new[1:] = True, key[1:] != key[:-1]
         new[start - low] = True
         use = np.zeros(high - low + 1, dtype=np.int32)
-        np.add.at(use, start - low, 1)
+        use[start - low] += 1
         np.add.at(use, stop - low, -1)
-        use = np.cumsum(use[:-1]) > 0
-        at = np.flatnonzero(new & use)
-        doc = for_docs[np.searchsorted(start, at + low, side="right") - 1]
-        end = np.minimum(np.append(at[1:], high - low) + low, np.minimum(last[doc], high))
-        for o, v in zip(out, (h[at], at + low, end - at - low, doc), strict=True):
-            o.append(v)
+        at = np.flatnonzero(new & (np.cumsum(use[:-1]) > 0))
+        of = np.searchsorted(start, at + low, side="right") - 1
+        doc, end = doc_[own[of]], np.minimum(np.append(at[1:], high - low), stop[of] - low)
+        anchor = (key[at] & _PLACE).astype(np.int64)
+        middle = np.clip(anchor - half + 1, at, end)  # before it the anchor's left side is the longer one
+        for side, a, b in ((0, at, middle), (1, middle, end)):
+            full = np.flatnonzero(b > a)
+            p = anchor[full]
+            found = h[p] * _C2 + U(side)
+            if more:
+                one, two = (p - more, p - 8) if not side else (p + _SHORT, p + _SHORT + more - 8)
+                found = mix(found + mix(x[one] * _C1 + U(side))) + mix(x[two] * _C2)
+            for o, v in zip(out, (mix(found), a[full] + low, (b - a)[full], doc[full]), strict=True):
+                o.append(v)
     if not out[0]:
         return (np.zeros(0, dtype=U), *(np.zeros(0, dtype=np.int64),) * 3)
     return tuple(np.concatenate(o) for o in out)
 
 
+def _at_place(h: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """The place of a hash, and 32 further bits of it."""
+    rest, place = np.divmod(h, U(places))
+    return place.astype(np.int64), rest.astype(np.uint32)
+
+
 def _unpacked(payload: bytes, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = np.array(sizes, dtype=np.int64)
     data = np.frombuffer(zstandard.ZstdDecompressor().decompress(payload, max_output_size=max(1, int(size.sum()))), dtype=np.uint8)
@@ -135,39 +204,101 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
         yield now, rows
 
 
+def _digests(blocks: DataFrame, length: int, places: int) -> DataFrame:
+    """By place and block: digests of pieces (with the bytes that their last windows reach into), document ids, piece numbers."""
+
+    def digested(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for block, ids, sizes, payload in zip(*(batch.column(c).to_pylist() for c in ("block", "ids", "sizes", "payload")), strict=True):
+                data, begin, size = _unpacked(payload, sizes)
+                start, end, doc = _pieces(data, begin, size, length)
+                raw = memoryview(data)
+                digest = xxhash.xxh3_128_digest
+                found = np.frombuffer(b"".join(digest(raw[a : b + length - 1], b - a) for a, b in zip(start.tolist(), end.tolist(), strict=True)), dtype=np.uint8).reshape(-1, 16)
+                place = np.ascontiguousarray(found[:, _DIGEST:]).view(np.uint32).ravel() % np.uint32(places)
+                id_of = np.array([_NO_ID if x is None else x for x in ids], dtype=np.int64)[doc]
+                order = np.argsort(place, kind="stable")
+                cut = np.searchsorted(place[order], np.arange(places + 1))
+                full = [p for p in range(places) if cut[p + 1] > cut[p]]
+                parts = [order[cut[p] : cut[p + 1]] for p in full]
+                yield pa.record_batch(
+                    [
+                        pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()),
+                        pa.array([np.ascontiguousarray(found[o, :_DIGEST]).tobytes() for o in parts], pa.binary()),
+                        pa.array([_packed(id_of[o]) for o in parts], pa.binary()), pa.array([_packed(o.astype(np.int32)) for o in parts], pa.binary()),
+                    ],
+                    ["place", "block", "digests", "ids", "numbers"],
+                )
+
+    return blocks.mapInArrow(digested, "place int, block long, digests binary, ids binary, numbers binary")
+
+
+def _known_pieces(digests: DataFrame, places: int) -> DataFrame:
+    """For each block the numbers of pieces that a document with a smaller id has, too."""
+
+    def found(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for _, blocks in _groups(rows):
+            raw = np.frombuffer(b"".join(x[1] for x in blocks), dtype=np.uint8).reshape(-1, _DIGEST)
+            high = np.ascontiguousarray(raw[:, :8]).view(U).ravel()
+            low = np.ascontiguousarray(raw[:, 8:]).view(np.uint32).ravel()
+            ids = np.concatenate([_spread(x[2], np.int64) for x in blocks])
+            numbers = [_spread(x[3], np.int32) for x in blocks]
+            of = np.repeat(np.arange(len(blocks)), [len(n) for n in numbers])
+            number = np.concatenate(numbers)
+            order = np.lexsort((ids, low, high))
+            new = np.append(True, (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1]))
+            least = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+            lost = np.sort(order[ids[order] > least])
+            cut = np.searchsorted(of[lost], np.arange(len(blocks) + 1))
+            full = [i for i in range(len(blocks)) if cut[i + 1] > cut[i]]
+            if full:
+                yield pa.record_batch(
+                    [
+                        pa.array([blocks[i][0] for i in full], pa.int64()), pa.array([pack(number[lost[cut[i] : cut[i + 1]]].tobytes()) for i in full], pa.binary()),
+                        pa.array([int(cut[i + 1] - cut[i]) for i in full], pa.int64()),
+                    ],
+                    ["block", "gone", "n"],
+                )
+
+    dealt = digests.repartition(min(places, 4 * shuffle_partitions(digests.sparkSession)), "place").sortWithinPartitions("place")
+    return dealt.mapInArrow(found, "block long, gone binary, n long").groupBy("block").agg(F.collect_list("gone").alias("gone"), F.sum("n").alias("n"))
+
+
 def _hashes(blocks: DataFrame, length: int, places: int) -> DataFrame:
     """By place and block: the block's distinct hashes, and whether two of its documents have each."""
 
     def hashed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for block, sizes, payload in zip(*(batch.column(c).to_pylist() for c in ("block", "sizes", "payload")), strict=True):
-                h, _, _, doc = _windows(*_unpacked(payload, sizes), length)
-                place = h % U(places)
+            for block, sizes, payload, gone in zip(*(batch.column(c).to_pylist() for c in ("block", "sizes", "payload", "gone")), strict=True):
+                data, begin, size = _unpacked(payload, sizes)
+                h, _, _, doc = _windows(data, *_segments(_pieces(data, begin, size, length), gone), length)
+                place, h = _at_place(h, places)
                 order = np.lexsort((doc, h, place))
                 h, doc, place = h[order], doc[order], place[order]
-                first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, dtype=np.int64)
+                first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (place[1:] != place[:-1]))) if len(h) else np.zeros(0, dtype=np.int64)
                 more = doc[first] != doc[np.append(first[1:], len(h)) - 1] if len(h) else np.zeros(0, dtype=bool)
                 h, place = h[first], place[first]
-                cut = np.searchsorted(place, np.arange(places + 1).astype(U))
+                cut = np.searchsorted(place, np.arange(places + 1))
                 full = [p for p in range(places) if cut[p + 1] > cut[p]]
                 yield pa.record_batch(
                     [
                         pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()),
-                        pa.array([h[cut[p] : cut[p + 1]].tobytes() for p in full], pa.binary()),
+                        pa.array([_packed(np.diff(h[cut[p] : cut[p + 1]], prepend=np.uint32(0))) for p in full], pa.binary()),  # steps between sorted hashes
                         pa.array([np.packbits(more[cut[p] : cut[p + 1]]).tobytes() for p in full], pa.binary()),
                     ],
                     ["place", "block", "hashes", "more"],
                 )
 
-    return blocks.select("block", "sizes", "payload").mapInArrow(hashed, "place int, block long, hashes binary, more binary")
+    return blocks.select("block", "sizes", "payload", "gone").mapInArrow(hashed, "place int, block long, hashes binary, more binary")
 
 
 def _shared(hashes: DataFrame, places: int, hot_blocks: int) -> DataFrame:
     """For each block the hashes that other documents have too, and whether many blocks have them."""
 
     def found(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blocks in _groups(rows):
-            parts = [np.frombuffer(x[1], dtype=U) for x in blocks]
+        for place, blocks in _groups(rows):
+            parts = [np.cumsum(_spread(x[1], np.uint32), dtype=np.uint32) for x in blocks]
             h = np.concatenate(parts)
             more = np.concatenate([np.unpackbits(np.frombuffer(x[2], dtype=np.uint8), count=len(p)) for x, p in zip(blocks, parts, strict=True)]).astype(bool)
             of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
@@ -185,15 +316,15 @@ def _shared(hashes: DataFrame, places: int, hot_blocks: int) -> DataFrame:
             if full:
                 yield pa.record_batch(
                     [
-                        pa.array([blocks[i][0] for i in full], pa.int64()),
+                        pa.array([blocks[i][0] for i in full], pa.int64()), pa.array([place] * len(full), pa.int32()),
                         pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary()),
                         pa.array([hot[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary()),
                     ],
-                    ["block", "hashes", "hot"],
+                    ["block", "place", "hashes", "hot"],
                 )
 
     dealt = hashes.repartition(min(places, 4 * shuffle_partitions(hashes.sparkSession)), "place").sortWithinPartitions("place")
-    return dealt.mapInArrow(found, "block long, hashes binary, hot binary").groupBy("block").agg(F.collect_list(F.struct("hashes", "hot")).alias("shared"))
+    return dealt.mapInArrow(found, "block long, place int, hashes binary, hot binary").groupBy("block").agg(F.collect_list(F.struct("place", "hashes", "hot")).alias("shared"))
 
 
 def _fragments(blocks: DataFrame, length: int, places: int) -> DataFrame:
@@ -201,16 +332,18 @@ def _fragments(blocks: DataFrame, length: int, places: int) -> DataFrame:
     names = ["place", "block", "keys", "sizes", "bytes", "counts", "ids", "at"]
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in rows:
-            for block, ids, sizes, payload, shared, copies in zip(*(batch.column(c).to_pylist() for c in ("block", "ids", "sizes", "payload", "shared", "copies")), strict=True):
+            for block, ids, sizes, payload, shared, gone in zip(*(batch.column(c).to_pylist() for c in ("block", "ids", "sizes", "payload", "shared", "gone")), strict=True):
                 data, begin, size = _unpacked(payload, sizes)
-                size = size.copy()
-                size[copies or []] = 0  # the first copy stands for them
-                h, at, n, doc = _windows(data, begin, size, length)
-                known = np.concatenate([np.frombuffer(x["hashes"], dtype=U) for x in shared])
+                h, at, n, doc = _windows(data, *_segments(_pieces(data, begin, size, length), gone), length)
+                parts = [np.frombuffer(x["hashes"], dtype=np.uint32) for x in shared]
+                known = np.concatenate([p.astype(np.int64) | x["place"] << 32 for p, x in zip(parts, shared, strict=True)])
                 hot = np.concatenate([np.frombuffer(x["hot"], dtype=bool) for x in shared])
                 order = np.argsort(known)
                 known, hot = known[order], hot[order]
+                place, h = _at_place(h, places)
+                h = h.astype(np.int64) | place << 32
                 where = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 keep = known[where] == h
                 h, at, n, doc, hot = h[keep], at[keep], n[keep], doc[keep], hot[where[keep]]
@@ -221,20 +354,19 @@ def _fragments(blocks: DataFrame, length: int, places: int) -> DataFrame:
                     if very:
                         for i in range(start, start + windows):
                             x = raw[i : i + length]
-                            key = xxhash.xxh3_64_intdigest(x)
-                            by.setdefault(key % places, {}).setdefault(x, [key]).append((id_of[d], i))
+                            to, short = divmod(xxhash.xxh3_64_intdigest(x), 1 << 32)
+                            by.setdefault(to % places, {}).setdefault(x, [short]).append((id_of[d], i))
                     else:
                         x = raw[start : start + windows + length - 1]
-                        by.setdefault(key % places, {}).setdefault(x, [key]).append((id_of[d], start))
+                        by.setdefault(key >> 32, {}).setdefault(x, [key & 0xFFFFFFFF]).append((id_of[d], start))
                 out: list[tuple] = []
                 for place, own in sorted(by.items()):
-                    found = sorted(own.items(), key=lambda x: x[1][0])
-                    each = [o for _, x in found for o in x[1:]]
+                    each = [o for x in own.values() for o in x[1:]]
                     out.append(
                         (
-                            place, block, np.array([x[0] for _, x in found], dtype=U).tobytes(), np.array([len(b) for b, _ in found], dtype=np.int32).tobytes(),
-                            b"".join(b for b, _ in found), np.array([len(x) - 1 for _, x in found], dtype=np.int32).tobytes(),
-                            np.array([o[0] for o in each], dtype=np.int64).tobytes(), np.array([o[1] for o in each], dtype=np.int32).tobytes(),
+                            place, block, np.array([x[0] for x in own.values()], dtype=np.uint32).tobytes(), pack(np.array([len(b) for b in own], dtype=np.int32).tobytes()),
+                            pack(b"".join(own)), pack(np.array([len(x) - 1 for x in own.values()], dtype=np.int32).tobytes()),
+                            pack(np.array([o[0] for o in each], dtype=np.int64).tobytes()), pack(np.array([o[1] for o in each], dtype=np.int32).tobytes()),
                         )
                     )
                 if out:
@@ -283,12 +415,14 @@ def _removed(fragments: DataFrame, length: int, places: int) -> DataFrame:
                     spans.setdefault(block, []).append((at + a, at + b + length - 1))
 
     def searched(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for _, blocks in _groups(rows):
             by_key: dict[int, dict[bytes, list]] = {}
             for block, keys, sizes, data, counts, ids, at in blocks:
                 low = o = 0
+                sizes, data, counts, ids, at = map(unpack, (sizes, data, counts, ids, at))
                 ids, at = np.frombuffer(ids, dtype=np.int64).tolist(), np.frombuffer(at, dtype=np.int32).tolist()
-                for key, n, count in zip(*(np.frombuffer(x, dtype=t).tolist() for x, t in ((keys, U), (sizes, np.int32), (counts, np.int32))), strict=True):
+                for key, n, count in zip(*(np.frombuffer(x, dtype=t).tolist() for x, t in ((keys, np.uint32), (sizes, np.int32), (counts, np.int32))), strict=True):
                     own = by_key.setdefault(key, {}).setdefault(data[low : low + n], [])
                     own.extend((block, ids[k], at[k]) for k in range(o, o + count))
                     low, o = low + n, o + count
@@ -312,7 +446,7 @@ def _removed(fragments: DataFrame, length: int, places: int) -> DataFrame:
                 sort_parts(batch, spans)
             if spans:
                 yield pa.record_batch(
-                    [pa.array(list(spans), pa.int64()), pa.array([np.array(s, dtype=np.int32).tobytes() for s in spans.values()], pa.binary())], ["block", "spans"]
+                    [pa.array(list(spans), pa.int64()), pa.array([_packed(np.array(sorted(s), dtype=np.int32).ravel()) for s in spans.values()], pa.binary())], ["block", "spans"]
                 )
 
     dealt = fragments.repartition(min(places, 4 * shuffle_partitions(fragments.sparkSession)), "place").sortWithinPartitions("place")
@@ -328,18 +462,17 @@ def _kept(blocks: DataFrame, length: int, keep_bytes: bool) -> DataFrame:
 
     def applied(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for ids, sizes, payload, spans, copies in zip(*(batch.column(c).to_pylist() for c in ("ids", "sizes", "payload", "spans", "copies")), strict=True):
+            for ids, sizes, payload, spans, known in zip(*(batch.column(c).to_pylist() for c in ("ids", "sizes", "payload", "spans", "gone")), strict=True):
                 data, begin, size = _unpacked(payload, sizes)
-                change = np.zeros(len(data) + 1, dtype=np.int32)
-                for s in spans or []:
-                    a, b = np.frombuffer(s, dtype=np.int32).reshape(-1, 2).T
-                    change += (np.bincount(a, minlength=len(change)) - np.bincount(b, minlength=len(change))).astype(np.int32)
-                gone = np.cumsum(change[:-1]) > 0
-                again, out = set(copies or []), []
-                for i, (doc_id, b, n) in enumerate(zip(ids, begin.tolist(), size.tolist(), strict=True)):
+                start, end, _ = _pieces(data, begin, size, length)
+                known = _numbers(known)
+                parts = [_spread(s, np.int32).reshape(-1, 2) for s in spans or []]
+                a = np.concatenate([start[known], *[p[:, 0] for p in parts]])
+                b = np.concatenate([end[known] + length - 1, *[p[:, 1] for p in parts]])
+                change = np.bincount(a, minlength=len(data) + 1) - np.bincount(b, minlength=len(data) + 1)
+                gone, out = np.cumsum(change[:-1]) > 0, []
+                for doc_id, b, n in zip(ids, begin.tolist(), size.tolist(), strict=True):
                     own, mine = gone[b : b + n], data[b : b + n]
-                    if i in again:  # the whole text stands in a smaller document
-                        own = np.ones(n, dtype=bool)
                     lost = int(own.sum())
                     left = (mine[~own] if lost else mine).tobytes()
                     runs = int(own[0]) + int((own[1:] & ~own[:-1]).sum()) if lost else 0
@@ -362,22 +495,22 @@ def remove_repeats(
     ``block_bytes`` and ``hot_blocks`` (blocks with one hash from which it is dealt out by window)
     change only how the work is dealt out.
     """
-    if length <= _SHORT:
-        raise ValueError(f"length must be above {_SHORT}")
+    if length <= _SHORT or _STEP + length > int(_PLACE):
+        raise ValueError(f"length must be above {_SHORT} and below 700,000")
     ship(docs.sparkSession)
     blocks = save(_pack(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), block_bytes), "blocks")
     total = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     places = max(shuffle_partitions(docs.sparkSession), -(-total // _PER_PLACE))
 
-    each = blocks.select("block", F.posexplode(F.arrays_zip("ids", "digests", "sizes")).alias("at", "d")).where(F.col("d.sizes") >= length)
-    each = each.select("block", "at", F.coalesce("d.ids", F.lit(_NO_ID)).alias("id"), F.col("d.digests").alias("digest"))
-    first = each.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = save(each.join(first, "digest").where("id > first").groupBy("block").agg(F.collect_list("at").alias("copies")), "copies")
+    gone = save(_known_pieces(_digests(blocks, length, places), places), "gone")
+    few = (gone.agg(F.sum("n")).first()[0] or 0) <= _BROADCAST_PIECES
+    gone = F.broadcast(gone.drop("n")) if few else gone.drop("n")
+    parts = blocks.join(gone, "block", "left")
 
-    shared = save(_shared(_hashes(blocks, length, places), places, hot_blocks), "shared")
-    fragments = _fragments(blocks.join(shared, "block").join(copies, "block", "left"), length, places)
+    shared = save(_shared(_hashes(parts, length, places), places, hot_blocks), "shared")
+    fragments = _fragments(parts.join(shared, "block"), length, places)
     spans = save(_removed(fragments, length, places), "spans")
-    done = blocks.select("block", "ids", "sizes", "payload").join(spans, "block", "left").join(copies, "block", "left")
+    done = parts.join(spans, "block", "left")
     kept = _kept(done, length, keep_bytes)
     return kept if keep_bytes else kept.drop("kept")
 
