@@ -521,11 +521,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = """
 WITH d AS (
-  SELECT row_number() OVER () AS rid, coalesce(doc_id, 9223372036854775807) AS id, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+  SELECT row_number() OVER () AS rid, coalesce(doc_id, 9223372036854775807) AS id, doc_id, encode(coalesce(text, '')) AS b FROM documents
 ), w AS (
-  SELECT rid, id, unnest(range(0, length(h) // 2 - 49)) AS i, h FROM d WHERE length(h) >= 100
+  SELECT rid, id, unnest(range(0, octet_length(b) - 49)) AS i, b FROM d WHERE octet_length(b) >= 50
 ), s AS (
-  SELECT rid, id, i, substr(h, 2 * i + 1, 100) AS x FROM w
+  SELECT rid, id, i, b[i + 1:i + 50] AS x FROM w
 ), f AS (
   SELECT rid, i FROM s JOIN (SELECT x, min(id) AS least FROM s GROUP BY x HAVING min(id) < max(id)) USING (x) WHERE least < id
 ), g AS (
@@ -537,9 +537,9 @@ WITH d AS (
   SELECT rid, start, stop, coalesce(lag(stop) OVER (PARTITION BY rid ORDER BY start), 0) AS prior FROM p
 ), k AS (
   SELECT rid, count(*) AS n_spans, sum(stop - start) AS n_removed, max(stop) AS tail,
-    string_agg(substr(h, 2 * prior + 1, 2 * (start - prior)), '' ORDER BY start) AS head FROM q JOIN d USING (rid) GROUP BY rid
+    string_agg(CASE WHEN start > prior THEN hex(b[prior + 1:start]) ELSE '' END, '' ORDER BY start) AS head FROM q JOIN d USING (rid) GROUP BY rid
 )
-SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
-  sha256(unhex(CASE WHEN tail IS NULL THEN h ELSE head || substr(h, 2 * tail + 1) END)) AS kept_sha256
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN tail IS NULL THEN b WHEN tail < octet_length(b) THEN unhex(head) || b[tail + 1:octet_length(b)] ELSE unhex(head) END) AS kept_sha256
 FROM d LEFT JOIN k USING (rid)
 """
