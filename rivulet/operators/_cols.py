@@ -30,7 +30,7 @@ def field(name: Expr) -> Column:
 def name_of(c: Expr) -> str:
     """The output name of a column; of a struct field its last part."""
     if isinstance(c, Column):
-        return c._jc.named().name() if hasattr(c, "_jc") else str(c)
+        return str(c).removeprefix("Column<'").removesuffix("'>")
     return c.split(".")[-1].strip("`")
 
 

@@ -245,3 +245,8 @@ def test_row_numbers_follow_the_order(spark):
 def test_take_keeps_few_rows(people):
     df = pipe(people, O.take("salary", 2, by="occupation", alias="low"))
     assert {(r["occupation"], tuple(r["low"])) for r in df.collect()} >= {("Doctor", (120000, 120000)), ("Artist", (70000,)), (None, (0,))}
+
+
+def test_names_of_columns_and_expressions(states):
+    df = pipe(states, O.stats(O.avg(F.col("age")), O.sum_("age * 2"), O.max_("age"), by=O.span(F.col("age"), 25)))
+    assert df.columns == ["avg(age)", "sum(age * 2)", "max(age)", "span(age,25)"]
