@@ -4,6 +4,9 @@ A text is a TF-IDF vector of hashed byte n-grams of its lower-cased letters (oth
 count as one space), normalised to length one. Each language has several centroids, found by
 spherical k-means on a bounded sample of labelled texts. A text gets the language of the centroid
 with the largest cosine; it is rejected where even that one is far.
+
+A cosine grows with the number of different n-grams, whatever the language. So what is far is
+learned for each centroid and for each number of n-grams, from the labelled texts cut to many lengths.
 """
 
 from __future__ import annotations
@@ -23,6 +26,9 @@ from rivulet.llm._tables import table
 _BITS = 12
 _ROWS, _CHARS = 128, 1 << 18
 _HASHES = 1 << 30
+_SIZES = 2 * _BITS + 1  # classes of texts by their different n-grams, two for each doubling
+_FEW = 50  # cuts of a class, below which it is not told apart
+_QUANTILE, _MARGIN = 0.005, 0.7
 _LETTER = re.compile(r"[^\W\d_]")
 
 _FOLD = np.full(256, 32, dtype=np.uint8)
@@ -52,13 +58,23 @@ def grams(text: str | None) -> np.ndarray:
     return out
 
 
+def sizes(counts: np.ndarray) -> np.ndarray:
+    return (2 * np.log2(np.maximum((counts > 0).sum(axis=1), 1))).astype(int)
+
+
+def cuts(text: str) -> list[str]:
+    """The beginnings of a text, each about 1.4 times as long as the one before, and all of it."""
+    lengths = [int(2 ** (k / 2)) for k in range(4, 80)]
+    return [c for c in [text[:n] for n in lengths if n < len(text)] + [text] if has_letter(c)]
+
+
 @dataclass
 class Model:
     names: list
     idf: np.ndarray
     centroids: np.ndarray  # one row per centroid
     owner: np.ndarray  # of each centroid: position in names
-    least: float  # cosine below which a text is rejected
+    limits: np.ndarray  # cosine below which a text is rejected, by its centroid and size class
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         v = np.log1p(counts.astype(np.float32)) * self.idf
@@ -66,15 +82,16 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """Language, score and whether it is rejected: ``und`` where there is no letter."""
-        sims = self.vectors(np.stack([grams(t) for t in texts])) @ self.centroids.T
+        counts = np.stack([grams(t) for t in texts])
+        sims = self.vectors(counts) @ self.centroids.T
         best = sims.argmax(axis=1)
         out = []
-        for t, b, s in zip(texts, best, sims, strict=True):
+        for t, b, s, least in zip(texts, best, sims, self.limits[best, sizes(counts)], strict=True):
             if not has_letter(t):
                 out.append(("und", 0.0, True))
             else:
                 score = float(min(1.0, max(0.0, s[b])))
-                out.append((self.names[self.owner[b]], score, score < self.least))
+                out.append((self.names[self.owner[b]], score, score < float(least)))
         return out
 
 
@@ -92,6 +109,28 @@ def _k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def _limits(found: list[tuple[int, int, float]], owner: np.ndarray, least: float) -> np.ndarray:
+    """By centroid and size class, a share of a low quantile of the cosines of labelled texts, given as (centroid, class, cosine).
+
+    A class with few cuts takes those of its language or of all languages, or else the limit of the
+    class below it; texts smaller than any class are never rejected. ``least`` where no class has enough.
+    """
+    at, size, cosine = (np.array([r[k] for r in found]) for k in range(3))
+    out = np.full((len(owner), _SIZES), least)
+    if not len(found) or np.bincount(size).max() < _FEW:
+        return out
+    for c in range(len(owner)):
+        held = 0.0
+        for k in range(_SIZES):
+            for same in (at == c, owner[at] == owner[c], at >= 0):
+                group = cosine[same & (size == k)]
+                if len(group) >= _FEW:
+                    held = _MARGIN * float(np.quantile(group, _QUANTILE, method="lower"))
+                    break
+            out[c, k] = held
+    return out
+
+
 def fit(
     docs: DataFrame, learn: Column, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id",
     per_language: int = 300, centroids: int = 4, least: float = 0.1,
@@ -99,7 +138,9 @@ def fit(
     """Fit on about ``per_language`` rows of each language among those where ``learn`` holds.
 
     The sample is drawn by a hash of the id, evenly from all rows; only n-gram counts of fixed
-    size come to the driver. None where there is nothing to learn from.
+    size come to the driver, and the cosines of its texts cut to many lengths. Each text is held
+    against its centroid without itself. None where there is nothing to learn from. ``least``: the
+    cosine below which a text is rejected where there are too few texts to learn it.
     """
     ship(docs.sparkSession)
     known = docs.where(learn & F.col(lang).isNotNull()).select(
@@ -117,7 +158,8 @@ def fit(
             data = [np.minimum(grams(texts[i]), 65535).astype("<u2").tobytes() for i in keep]
             yield pa.record_batch([batch.column("lang").take(pa.array(keep, pa.int64())), pa.array(data, pa.binary())], ["lang", "counts"])
 
-    rows = known.where(F.col("draw") < F.element_at(least_draw, F.col("lang"))).select("lang", "text").mapInArrow(counted, "lang string, counts binary").collect()
+    sample = known.where(F.col("draw") < F.element_at(least_draw, F.col("lang"))).select("lang", "text")
+    rows = sample.mapInArrow(counted, "lang string, counts binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], bytes(r["counts"])))
@@ -125,11 +167,36 @@ def fit(
     names = sorted({r["lang"] for r in rows})
     of = np.array([names.index(r["lang"]) for r in rows])
     idf = (np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    model = Model(names, idf, np.zeros((0, 0)), np.zeros(0), least)
+    model = Model(names, idf, np.zeros((0, 0)), np.zeros(0), np.zeros((0, 0)))
     vectors = model.vectors(counts)
     found = [_k_means(vectors[of == i], centroids) for i in range(len(names))]
     model.centroids = np.concatenate(found).astype(np.float32)
     model.owner = np.repeat(np.arange(len(names)), [len(c) for c in found])
+    own = np.where(model.owner == of[:, None], vectors @ model.centroids.T, -1).argmax(axis=1)
+    mass = np.array([np.linalg.norm(vectors[own == c].sum(axis=0)) for c in range(len(model.owner))])
+    held = docs.sparkSession.sparkContext.broadcast((model, mass))
+
+    def measured(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, mass = held.value
+        for batch in rows:
+            out: tuple[list, list, list] = ([], [], [])
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if not has_letter(text):
+                    continue
+                counts = np.stack([grams(c) for c in cuts(text)])
+                x = model.vectors(counts)
+                whole, sims = x[-1], x @ model.centroids.T
+                c = int(np.where(model.owner == model.names.index(lang), sims[-1], -1).argmax())
+                others = model.centroids[c] * mass[c] - whole
+                norm = np.linalg.norm(others)
+                sims[:, c] = x @ (others / norm) if norm > 1e-3 else -1
+                best = sims.argmax(axis=1)
+                out[0].extend(best.tolist())
+                out[1].extend(sizes(counts).tolist())
+                out[2].extend(sims[np.arange(len(best)), best].tolist())
+            yield pa.record_batch([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.float64())], ["centroid", "size", "cosine"])
+
+    model.limits = _limits([tuple(r) for r in sample.mapInArrow(measured, "centroid int, size int, cosine double").collect()], model.owner, least)
     return model
 
 
@@ -175,9 +242,15 @@ def fold(doc_id: Column, n: int) -> Column:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """``docs`` without those that are far from every centroid; the model learns from their own ``lang``."""
+    """``docs`` without those that are far from every centroid; the model learns from their own ``lang``.
+
+    All documents stay where nothing can be learned.
+    """
     names = docs.columns
-    found = identify(docs, fit(docs, F.lit(True)), prefix="_rv_")
+    model = fit(docs, F.lit(True))
+    if model is None:
+        return docs
+    found = identify(docs, model, prefix="_rv_")
     return found.where(~F.col("_rv_rejected")).select(*names)
 
 

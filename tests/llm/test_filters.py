@@ -110,6 +110,27 @@ def test_distance_rejects_an_unknown_script(spark, odd):
     assert language_id.identify(far, model).first()["rejected"]
 
 
+def test_distance_follows_the_length_of_a_text(spark, sf_dir):
+    """Long texts of other scripts, languages and random letters are rejected; short and long clean ones stay."""
+    r = random.Random(3)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language_id.fit(docs, F.lit(True))
+
+    def drawn(first, last, n):
+        return "".join(chr(r.randint(first, last)) if r.random() > 0.15 else " " for _ in range(n))
+
+    far = [drawn(*script, n) for script in ((0x430, 0x44F), (0x627, 0x649), (0x4E00, 0x9FA0), (0x3B1, 0x3C9), (97, 122)) for n in (400, 2000, 12000)]
+    far.append("Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.")
+    assert all(rejected for _, _, rejected in model.predict(far))
+    texts = [t for (t,) in duck("SELECT text FROM documents WHERE lang IS NOT NULL ORDER BY doc_id", sf_dir)[1] if language_id.has_letter(t)]
+    assert not any(rejected for _, _, rejected in model.predict([*texts, "Re.", "Avec.", "Die.", "The."]))
+
+
+def test_all_documents_stay_where_nothing_is_learned(odd):
+    unknown = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert language_id.keep_known(unknown).count() == odd.count()
+
+
 def test_toxic_texts_score_higher(spark):
     r = random.Random(6)
     syllables = ["an", "er", "in", "th", "on", "re", "st", "ou", "ha", "le"]
