@@ -123,3 +123,13 @@ def condition_functions(t: Tables) -> DataFrame:
         evaluate(filled="o_orderstatus = 'F'", status="ifnull(nullif(o_orderstatus, 'O'), 'none')", blank=R.isblank("o_orderpriority")),
         stats(count().alias("n"), by=["filled", "status", "blank"]),
     )
+
+
+@query("""
+SELECT count(*) AS n, o_orderstatus = 'F' AS filled, coalesce(nullif(o_orderstatus, 'O'), 'none') AS status, trim(o_orderpriority) = '' AS blank FROM orders GROUP BY ALL
+""")
+def condition_functions_all(t: Tables) -> DataFrame:
+    return pipe(
+        t.orders, evaluate(filled="o_orderstatus = 'F'", status="ifnull(nullif(o_orderstatus, 'O'), 'none')", blank=R.isblank("o_orderpriority")),
+        stats(count().alias("n"), by=["filled", "status", "blank"]),
+    )

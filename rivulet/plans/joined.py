@@ -24,8 +24,19 @@ def _kind(kind: str, sql: str) -> None:
     query(f"SELECT {columns} FROM (SELECT * FROM customer WHERE c_custkey % 3 = 0) {sql} JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) ON c_custkey = o_custkey")(run)
 
 
+def _kind_all(kind: str, sql: str) -> None:
+    def run(t: Tables) -> DataFrame:
+        out = pipe(t.customer, join(t.orders, "l.c_custkey = r.o_custkey", kind, left="l", right="r"))
+        return out.select(*[c for c in ("c_custkey", "c_nationkey", "o_orderkey") if c in out.columns])
+
+    run.__name__ = f"join_{kind}_all"
+    columns = "c_custkey, c_nationkey" + ("" if kind in ("semi", "anti") else ", o_orderkey")
+    query(f"SELECT {columns} FROM customer {sql} JOIN orders ON c_custkey = o_custkey")(run)
+
+
 for _name, _sql in (("inner", ""), ("left", "LEFT"), ("right", "RIGHT"), ("full", "FULL"), ("semi", "SEMI"), ("anti", "ANTI")):
     _kind(_name, _sql)
+    _kind_all(_name, _sql)
 
 
 @query("SELECT r_name, n_name FROM region CROSS JOIN nation")
@@ -106,6 +117,16 @@ def correlate_approximate(t: Tables) -> DataFrame:
     )
 
 
+@query("SELECT c_custkey, s_suppkey, c_nationkey FROM customer JOIN supplier ON c_nationkey = s_nationkey")
+def correlate_exact_all(t: Tables) -> DataFrame:
+    return pipe(O.correlate(t.customer, t.supplier, [("c_nationkey", "s_nationkey")]), fields("c_custkey", "s_suppkey", "c_nationkey"))
+
+
+@query("SELECT c_custkey, s_suppkey FROM customer FULL JOIN supplier ON c_nationkey = s_nationkey OR c_custkey = s_suppkey")
+def correlate_approximate_all(t: Tables) -> DataFrame:
+    return pipe(O.correlate(t.customer, t.supplier, [("c_nationkey", "s_nationkey"), ("c_custkey", "s_suppkey")], "approximate"), fields("c_custkey", "s_suppkey"))
+
+
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def subsearch_in(t: Tables) -> DataFrame:
     return pipe(t.customer, in_subsearch("c_custkey", t.orders.where("o_totalprice > 400000").select("o_custkey")), fields("c_custkey"))
