@@ -1,9 +1,12 @@
 """Main text of web pages by nearest-URL page differencing.
 
 Pages stand in order of host and URL path; each is compared with its neighbours of the same host.
-Lines that a longest common subsequence aligns are template and are deleted, except inside the
-page's article element: two copies of one article share all its lines. Lines of navigation,
-adverts and the like, which differ from page to page, are known by their elements.
+Where a page has an article element, that element takes the place of differencing: all outside it
+is deleted and all inside it stays. Differencing decides only blocks inside it whose class words
+are those of comments, shares and the like. On other pages, lines that a longest common
+subsequence aligns are template and are deleted, unless they are most of the page: then the
+neighbour is a copy. Lines of navigation, adverts and the like, which differ from page to page,
+are known by their elements.
 """
 
 from __future__ import annotations
@@ -42,6 +45,7 @@ _CHROME_WORDS = frozenset(
     "share sharing social comment comments reply replies disqus respond related recommended widget login search pagination pager "
     "contentinfo complementary dialog".split()
 )
+_ADVERT_WORDS = frozenset("ad ads advert adverts advertisement adsense sponsor sponsored".split())
 _CONTENT_WORDS = frozenset("article post entry story content body".split())
 _WORDS = re.compile(r"[a-z]+")
 
@@ -51,11 +55,16 @@ class Line:
     text: str
     article: bool
     chrome: bool
+    open: bool = False  # inside an article, with class words of chrome
 
 
-def _kind(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is chrome, and whether it is an article."""
-    chrome, article = tag in _CHROME_TAGS, tag in ("article", "main")
+def _kind(tag: str, attributes: str, inside: bool = False) -> tuple[bool, bool, bool]:
+    """Whether an element is chrome, whether it is an article, and whether differencing has to tell.
+
+    Class words but those of adverts do not make chrome of what is ``inside`` an article, and none of an article.
+    """
+    chrome, article, open_ = tag in _CHROME_TAGS, tag in ("article", "main"), False
+    by_class = False
     if "=" in attributes:
         for name, value in _ATTRIBUTE.findall(attributes):
             words = set(_WORDS.findall(value.lower()))
@@ -65,23 +74,28 @@ def _kind(tag: str, attributes: str) -> tuple[bool, bool]:
             elif name == "role" and "main" in words:
                 article = True
             elif words & _CHROME_WORDS and not (words & _CONTENT_WORDS and words & {"header"}) and tag not in ("body", "html"):
-                chrome = True
-    return chrome, article
+                if name == "role" or inside and words & _ADVERT_WORDS:
+                    chrome = True
+                else:
+                    by_class = True
+    if by_class and not article:
+        chrome, open_ = chrome or not inside, inside
+    return chrome, article, open_
 
 
 def lines(page: str | None) -> list[Line]:
     """Block texts of a page in order, with white space as single spaces and references decoded."""
     page = page or ""
     out: list[Line] = []
-    stack: list[tuple[str, bool, bool]] = []
-    chrome = article = at = 0
+    stack: list[tuple[str, bool, bool, bool]] = []
+    chrome = article = open_ = at = 0
     held: list[str] = []
 
     def flush() -> None:
         if held:
             text = " ".join(html_lib.unescape("".join(held)).split())
             if text:
-                out.append(Line(text, article > 0, chrome > 0))
+                out.append(Line(text, article > 0, chrome > 0, open_ > 0))
             held.clear()
 
     while m := _TOKEN.search(page, at):
@@ -102,20 +116,20 @@ def lines(page: str | None) -> list[Line]:
             elif tag not in _VOID and not attributes.endswith("/"):
                 if tag in ("body", "main"):  # whatever was left open before it ends here
                     stack.clear()
-                    chrome = article = 0
-                c, a = _kind(tag, attributes)
-                if c or a:
+                    chrome = article = open_ = 0
+                c, a, o = _kind(tag, attributes, article > 0)
+                if c or a or o:
                     flush()
-                stack.append((tag, c, a))
-                chrome, article = chrome + c, article + a
+                stack.append((tag, c, a, o))
+                chrome, article, open_ = chrome + c, article + a, open_ + o
         elif any(x[0] == tag for x in reversed(stack)):
             inside = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)
-            if any(c or a for _, c, a in stack[inside:]):
+            if any(c or a or o for _, c, a, o in stack[inside:]):
                 if tag in _INLINE and any(x[0] not in _INLINE for x in stack[inside + 1 :]):
                     continue  # a stray end tag does not close the blocks around it
                 flush()
-            for _, c, a in stack[inside:]:
-                chrome, article = chrome - c, article - a
+            for _, c, a, o in stack[inside:]:
+                chrome, article, open_ = chrome - c, article - a, open_ - o
             del stack[inside:]
     held.append(page[at:])
     flush()
@@ -151,22 +165,21 @@ def aligned(a: list[str], b: list[str]) -> set[int]:
 
 
 def main_text(page: list[Line], neighbours: list[list[Line]]) -> str:
-    """The lines that stay after differencing.
+    """The lines that stay by the element rules and, where these leave it open, by differencing.
 
-    A page whose lines are all shared is a copy of its neighbour, which tells nothing: then they stay.
+    A neighbour that shares most of the page's body, in lines and in characters, is a copy and not
+    template: it tells nothing.
     """
+    has_article = any(x.article and not x.chrome for x in page)
+    body = {i: len(x.text) for i, x in enumerate(page) if not x.chrome and (x.article or not has_article)}
+    open_ = {i for i in body if page[i].open or not has_article}
     shared: set[int] = set()
     texts = [x.text for x in page]
-    for other in neighbours:
-        found = aligned(texts, [x.text for x in other])
-        if len(found) < len(page):
+    for other in neighbours if open_ else []:
+        found = aligned(texts, [x.text for x in other]) & body.keys()
+        if 2 * len(found) <= len(body) or 2 * sum(body[i] for i in found) <= sum(body.values()):
             shared |= found
-    has_article = any(x.article and not x.chrome for x in page)
-    kept = [
-        x.text for i, x in enumerate(page)
-        if not x.chrome and (x.article if has_article else i not in shared)
-    ]
-    return " ".join(kept)
+    return " ".join(texts[i] for i in body if not (i in shared and i in open_))
 
 
 def _extracted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

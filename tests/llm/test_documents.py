@@ -89,6 +89,22 @@ def test_copies_of_a_page_keep_their_text(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def _texts(spark, pages):
+    rows = [(i, f"https://h.example/a/{i}", p) for i, p in enumerate(pages)]
+    return {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_near_copies_keep_their_paragraphs(spark):
+    got = _texts(spark, [f"<div>Day {i}</div><p>One long paragraph</p><p>and another one</p><p>to the end</p>" for i in range(3)])
+    assert got == {i: f"Day {i} One long paragraph and another one to the end" for i in range(3)}
+
+
+def test_class_words_inside_an_article_are_left_to_differencing(spark):
+    page = "<main class='related'><h1>Title %s</h1><p class='social comments'>On social groups %s</p><p>Text %s</p><div class='share'>Share this</div><div class='ads'>Buy %s</div></main>"
+    got = _texts(spark, [page % (i, i, i, i) for i in range(3)])
+    assert got == {i: f"Title {i} On social groups {i} Text {i}" for i in range(3)}  # shared lines of such blocks are template
+
+
 @settings(max_examples=150)
 @given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abc"), max_size=12))
 def test_longest_common_subsequence(a, b):
