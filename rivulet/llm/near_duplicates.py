@@ -1,9 +1,9 @@
 """N-gram Jaccard join of documents by a MinHash LSH forest with exact verification.
 
-Texts with equal sets of five-word shingles are one node. Each tree of the forest sorts the nodes
-by a MinHash signature of its own; nodes under one signature prefix are candidates. The prefix is
-shortened from the longest one until the trees together reach the target recall at the wanted
-similarity. Prefixes that hold the same nodes in several trees are looked at once. Candidates are
+Texts with equal sets of five-word shingles are one node. Each tree of the forest has a MinHash
+signature of its own; nodes under one signature prefix are candidates. The prefix has one length,
+the longest at which the trees together reach the target recall at the wanted similarity: fixed
+banding (24 bands of 5 at 0.8 and 0.9999), without a sorted trie. Prefixes that hold the same nodes in several trees are looked at once. Candidates are
 verified on their whole shingle sets, inside blocks of bounded size: a prefix with more nodes than
 a block is dealt out as pairs of blocks, so that no pair is lost and none becomes a row.
 """

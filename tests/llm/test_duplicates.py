@@ -83,3 +83,13 @@ def test_odd_documents_removed(odd, empty):
     assert _gone(odd) == brute_removed(rows) and _gone(empty) == []
     kept = {r["doc_id"]: bytes(r["kept"]) for r in remove_repeats(odd).collect()}
     assert kept[5] == b"" and kept[1].startswith(b"The quick")
+
+
+def test_the_forest_is_stated_as_fixed_banding():
+    """Where the prefix is one length, the README says so."""
+    from pathlib import Path
+
+    from rivulet.llm.near_duplicates import TREES, prefix_length
+
+    readme = (Path(__file__).parents[2] / "README.md").read_text()
+    assert f"fixed banding, {TREES} bands of {prefix_length(0.8, 0.9999)}" in readme
