@@ -81,7 +81,9 @@ def halves(text: Column) -> tuple[Column, Column]:
 def indexes(items: DataFrame, share: float, overlap: float) -> list[Index]:
     """One index per block of about ``_BLOCK_WORDS`` words; document frequencies are those of all items."""
     ship(items.sparkSession)
-    items = items.where(F.col("item").isNotNull())
+    # an item is its id and text: rows without an id, or with one id and several texts, are items of their own
+    items = items.select(F.col("item").alias("id"), "question", "answer").distinct()
+    items = items.withColumn("item", F.xxhash64("id", F.col("id").isNull(), F.coalesce("question", F.lit("")), F.lit(0), F.coalesce("answer", F.lit(""))))
     terms = item_terms(items).cache()
     totals = terms.groupBy("item").agg(F.first("n_words").alias("n_words")).agg(
         F.count("*").alias("n"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words")
@@ -93,8 +95,8 @@ def indexes(items: DataFrame, share: float, overlap: float) -> list[Index]:
     rows = (
         terms.join(df, "term")
         .groupBy("item").agg(F.first("n_words").alias("n_words"), F.collect_list(F.struct("term", "tf", "df")).alias("terms"))
-        .join(items.groupBy("item").agg(F.first("question").alias("question"), F.first("answer").alias("answer")), "item")
-        .withColumn("block", F.pmod(F.xxhash64("item"), F.lit(n_blocks)))
+        .join(items.groupBy("item").agg(F.first("id").alias("id"), F.first("question").alias("question"), F.first("answer").alias("answer")), "item")
+        .withColumn("block", F.pmod(F.xxhash64(F.coalesce("id", "item")), F.lit(n_blocks)))
     )
     out = []
     for block in range(n_blocks):  # each collects a bounded number of words
@@ -133,7 +135,7 @@ def build_index(rows: list, n_items: int, mean_words: float, share: float, overl
         parts.append([np.unique(sh[at[i] : at[i + 1]]) for i in range(len(weights))])
     longest = max(r["n_words"] for _, _, r in weights)
     return Index(
-        [r["item"] for _, _, r in weights], vocabulary, begin, item, value, np.maximum.reduceat(value, begin[:-1]),
+        [r["id"] for _, _, r in weights], vocabulary, begin, item, value, np.maximum.reduceat(value, begin[:-1]),
         np.array(block_begin), np.array(last), np.array(top), 2 * longest, *parts, *_key_terms(term, vocabulary, item, value, len(weights)), share, overlap,
     )
 
@@ -257,7 +259,8 @@ def contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", t
     ``items`` has (item long, question, answer). ``share``: of an item's own BM25 score that a
     passage must reach; ``overlap``: of the three-word runs of question and answer, each, that
     must stand in the passage. Passages overlap by the longest item, so an item is never cut.
-    Null and empty texts and items match nothing; repeated rows give repeated results; empty
+    An item is its id and text, so null ids and ids with several texts lose no passage; a document
+    has one row for an id, that of the highest score. Null and empty texts match nothing; repeated rows give repeated results; empty
     tables give none; further columns are ignored.
     """
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"

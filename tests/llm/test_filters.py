@@ -88,6 +88,14 @@ def test_decontamination_of_odd_documents(spark, odd, empty):
     assert kept.columns == odd.columns and kept.count() == odd.count() - 1
 
 
+def test_items_without_an_id_and_with_one_id_for_two_texts(spark):
+    texts = [" ".join(f"{k}{i}" for i in range(12)) for k in ("red", "green", "blue")]
+    docs = spark.createDataFrame([(i, f"before {t} after") for i, t in enumerate(texts)] + [(3, "none of them")], "doc_id long, text string")
+    items = _items(spark, [(None, texts[0]), (5, texts[1]), (5, texts[2]), (5, texts[2])])
+    assert sorted((r["doc_id"], r["item_id"]) for r in dc.contaminated(docs, items).collect()) == [(0, None), (1, 5), (2, 5)]
+    assert [r["doc_id"] for r in dc.drop_contaminated(docs, items).collect()] == [3]
+
+
 def test_languages_of_held_out_documents(spark, sf_dir):
     out = language_id.op5_language_id(spark, sf_dir).where("held_out")
     lang = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
