@@ -2,7 +2,8 @@
 
 Candidates are found by pattern; their values are counted over the whole corpus by distinct
 repositories (documents) and owners (sources). A value that many owners hold is a copied example;
-one that few owners hold is theirs and looks live.
+one that few owners hold is theirs and looks live. In :func:`redact`, one that very many
+repositories hold is an example as well; the report judges by owners alone, as its SQL states.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ _ANY = (
     r"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20})"
 )
 _KINDS = ("assign", "access", "hex", "token")
+MAX_REPOSITORIES = 1000
 _EMPTY = "array<struct<start:int,end:int,kind:int,value:string>>"
 
 
@@ -76,7 +78,7 @@ def candidates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", o
     return slim.withColumn("tokens", F.when(F.size("mixed") > 0, free).otherwise(F.col("mixed"))).drop("mixed")
 
 
-def ownership(found: DataFrame, max_owners: int = 2) -> DataFrame:
+def ownership(found: DataFrame, max_owners: int = 2, max_repositories: int | None = None) -> DataFrame:
     """Distinct owners and repositories of every candidate value in the corpus, and whether it looks live."""
     each = found.select(
         "owner", "doc_id", F.explode(F.concat("base", "tokens")).alias("s")
@@ -85,11 +87,11 @@ def ownership(found: DataFrame, max_owners: int = 2) -> DataFrame:
         each.groupBy("value_hash", "owner", "doc_id").agg(F.lit(1).alias("one"))
         .groupBy("value_hash", "owner").agg(F.count("*").alias("repositories"))
         .groupBy("value_hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
-        .withColumn("live", F.col("owners") <= max_owners)
+        .withColumn("live", (F.col("owners") <= max_owners) & (F.lit(max_repositories is None) | (F.col("repositories") <= (max_repositories or 0))))
     )
 
 
-def scan(found: DataFrame, max_owners: int = 2) -> DataFrame:
+def scan(found: DataFrame, max_owners: int = 2, max_repositories: int | None = None) -> DataFrame:
     """Spans of every document that has any: (doc_id, text_key, spans with owners, repositories, live, added).
 
     ``found`` is what :func:`candidates` gives. Base spans always stay; a further token span is
@@ -105,7 +107,7 @@ def scan(found: DataFrame, max_owners: int = 2) -> DataFrame:
             )).alias("s"),
         )
         .select("doc_id", "text_key", "s.*", F.sha2("s.value", 256).alias("value_hash"))
-        .join(ownership(found, max_owners), "value_hash")
+        .join(ownership(found, max_owners, max_repositories), "value_hash")
         .where(~F.col("added") | F.col("live"))
     )
     return spans.groupBy("doc_id", "text_key").agg(
@@ -145,15 +147,17 @@ def scan_report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     )
 
 
-def redact(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", owner: str = "source", mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", owner: str = "source", mark: str = "[SECRET]", max_repositories: int | None = MAX_REPOSITORIES) -> DataFrame:
     """``docs`` with every live-looking credential replaced by ``mark``; copied examples stay.
 
+    An example is held by more than two owners or more than ``max_repositories`` documents.
+
     Only rows in which a pattern can match are joined with the corpus counts. Columns and row
     count stay; null texts stay null.
     """
     names = docs.columns
     found = save(candidates(docs.where(suspicious(F.col(text))), doc_id=doc_id, text=text, owner=owner), "secrets")
-    live = scan(found).select(
+    live = scan(found, max_repositories=max_repositories).select(
         F.col("doc_id").alias("_rv_id"), F.col("text_key").alias("_rv_key"), F.filter("spans", lambda s: s["live"]).alias("_rv_spans")
     ).where(F.size("_rv_spans") > 0)
     hits = docs.where(suspicious(F.col(text)))
