@@ -1,218 +1,348 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages stand in order of host and URL path; each is compared with its neighbours of the same host.
-Where a page has an article element, that element takes the place of differencing: all outside it
-is deleted and all inside it stays. Differencing decides only blocks inside it whose class words
-are those of comments, shares and the like. On other pages, lines that a longest common
-subsequence aligns are template and are deleted, unless they are most of the page: then the
-neighbour is a copy. Lines of navigation, adverts and the like, which differ from page to page,
-are known by their elements.
+Pages stand in order of host and URL path. Each is aligned with the page before and the one after
+it of the same host by a longest common subsequence of their text lines (digits count as alike);
+lines that are aligned are shared. Differencing decides twice:
+
+1. Summed over a host, what pages do *not* share shows where its articles stand: the deepest
+   container (path of block elements) that holds over half of the host's unshared text. Hosts of
+   which few pages could be compared take the container of the whole corpus; on pages that have
+   neither, all shared lines are deleted and all others stay. What stands outside
+   it - menus, headers, footers, sidebars, adverts - is deleted, whether or not it varies by page.
+2. Inside it, shared lines are deleted where a container's text is mostly shared by the host's
+   pages. A line that two articles happen to have in common stays.
+
+A neighbour that shares nearly all of a page is a copy and tells nothing. Only what markup itself
+says is dropped without comparison: scripts, styles and form controls, and inside the container of
+the articles elements for menus, sidebars and footers or named as adverts, notices or comments.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm._chunks import with_neighbours
-from rivulet.llm._scratch import ship, shuffle_partitions
+from rivulet.llm._scratch import save, ship, shuffle_partitions
 from rivulet.llm._tables import table
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
-    re.S,
-)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/<>]*")
+_STOP = re.compile(r"[<>\"']")
+_CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_WORDS = re.compile(r"[a-z]+")
+_DIGITS = re.compile(r"\d+")
 _RAW = frozenset("script style textarea noscript template iframe".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_CHROME_TAGS = frozenset(
-    "head title nav header footer aside form script style noscript template iframe button select textarea svg dialog menu object canvas".split()
-)
+_NO_TEXT = frozenset("head title form button select svg dialog object canvas".split()) | _RAW
+_ASIDE = frozenset("nav aside footer menu".split())
+_NAMED = frozenset("ad ads advert adverts advertisement sponsored notice notices sidebar comment comments".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split()
 )
-_CHROME_WORDS = frozenset(
-    "ad ads advert adverts advertisement adsense sponsor sponsored promo banner sidebar menu nav navbar navigation breadcrumb breadcrumbs "
-    "footer header masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup "
-    "share sharing social comment comments reply replies disqus respond related recommended widget login search pagination pager "
-    "contentinfo complementary dialog".split()
-)
-_ADVERT_WORDS = frozenset("ad ads advert adverts advertisement adsense sponsor sponsored".split())
-_CONTENT_WORDS = frozenset("article post entry story content body".split())
-_WORDS = re.compile(r"[a-z]+")
+_ROOT = frozenset("html body".split())
+_ENDS_OTHERS = frozenset("body main article".split())  # whatever was left open before them ends here
+_TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th figure figcaption center".split())
+_SELF_ENDING = frozenset("p li dt dd tr td th".split())
+_COPY = 0.8  # share of lines and characters from which a neighbour is a copy
+_LEAST_PAGES = 5  # compared pages of a host, below which the corpus tells where its articles stand
+_BROADCAST_HOSTS = 100_000
 
 
 @dataclass(slots=True)
 class Line:
     text: str
-    article: bool
-    chrome: bool
-    open: bool = False  # inside an article, with class words of chrome
+    at: str  # its container: block elements from the body down, without those of running text
+    aside: bool  # menus, sidebars, adverts and the like by their own markup
 
+    @property
+    def key(self) -> int:
+        return xxhash.xxh3_64_intdigest(_DIGITS.sub("0", self.text).encode("utf-8", "surrogatepass"))
 
-def _kind(tag: str, attributes: str, inside: bool = False) -> tuple[bool, bool, bool]:
-    """Whether an element is chrome, whether it is an article, and whether differencing has to tell.
 
-    Class words but those of adverts do not make chrome of what is ``inside`` an article, and none of an article.
-    """
-    chrome, article, open_ = tag in _CHROME_TAGS, tag in ("article", "main"), False
-    by_class = False
-    if "=" in attributes:
-        for name, value in _ATTRIBUTE.findall(attributes):
-            words = set(_WORDS.findall(value.lower()))
-            name = name.lower()
-            if name == "itemprop":
-                article |= "articlebody" in words
-            elif name == "role" and "main" in words:
-                article = True
-            elif words & _CHROME_WORDS and not (words & _CONTENT_WORDS and words & {"header"}) and tag not in ("body", "html"):
-                if name == "role" or inside and words & _ADVERT_WORDS:
-                    chrome = True
-                else:
-                    by_class = True
-    if by_class and not article:
-        chrome, open_ = chrome or not inside, inside
-    return chrome, article, open_
-
-
-def lines(page: str | None) -> list[Line]:
-    """Block texts of a page in order, with white space as single spaces and references decoded."""
+@dataclass
+class Page:
+    lines: list[Line] = field(default_factory=list)
+    containers: set[str] = field(default_factory=lambda: {""})
+
+
+def _tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """Where the tag that begins before ``at`` ends (its ``>``): quotes are skipped if they close inside the tag."""
+    x = at
+    while m := _STOP.search(page, x):
+        c = m.group()
+        if c == ">":
+            return m.start()
+        if c == "<":
+            break
+        if last[c] <= m.start():
+            break
+        x = page.index(c, m.end()) + 1
+    return page.find(">", at) if last[">"] >= at else -1
+
+
+def parse(page: str | None) -> Page:
+    """Block texts of a page in order, with white space as single spaces and references decoded; linear in its length."""
     page = page or ""
-    out: list[Line] = []
-    stack: list[tuple[str, bool, bool, bool]] = []
-    chrome = article = open_ = at = 0
+    out = Page()
+    stack: list[tuple[str, str, bool, bool]] = []  # tag, name in a path, without text, aside
     held: list[str] = []
+    hidden = aside = at = 0
+    last = {c: page.rfind(c) for c in "\"'>"}
+
+    def path() -> str:
+        names = [x for x in stack if x[1]]
+        while names and names[-1][0] in _TEXT_BLOCKS:
+            names.pop()
+        return ">".join(x[1] for x in names)
 
     def flush() -> None:
         if held:
             text = " ".join(html_lib.unescape("".join(held)).split())
-            if text:
-                out.append(Line(text, article > 0, chrome > 0, open_ > 0))
+            if text and not hidden:
+                out.lines.append(Line(text, path(), aside > 0))
             held.clear()
 
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            held.append(page[at : m.start()])
-        at = m.end()
-        tag = m.group(2) or m.group(5)
-        if tag is None:
+    def close(n: int) -> None:
+        nonlocal hidden, aside
+        for _, _, h, a in stack[n:]:
+            hidden, aside = hidden - h, aside - a
+        del stack[n:]
+
+    while (begin := page.find("<", at)) >= 0:
+        if begin > at:
+            held.append(page[at:begin])
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            at = end + 3 if end >= 0 else len(page)
             continue
-        tag, close, attributes = tag.lower(), m.group(1) or m.group(4), m.group(3) or m.group(6) or ""
+        shut = page.startswith("/", begin + 1)
+        m = _NAME.match(page, begin + 1 + shut)
+        if not m and page[begin + 1 : begin + 2] not in ("!", "?", "/"):
+            held.append("<")
+            at = begin + 1
+            continue
+        end = _tag_end(page, m.end() if m else begin + 1, last)
+        if end < 0:
+            held.append(page[begin:])
+            at = len(page)
+            break
+        at = end + 1
+        if not m:
+            continue
+        tag, attributes = m.group().lower(), page[m.end() : end]
         if tag not in _INLINE:
             flush()
-        if not close:
-            if tag in _RAW:
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                flush()
-                at = end.end() if end else len(page)
-            elif tag not in _VOID and not attributes.endswith("/"):
-                if tag in ("body", "main"):  # whatever was left open before it ends here
-                    stack.clear()
-                    chrome = article = open_ = 0
-                c, a, o = _kind(tag, attributes, article > 0)
-                if c or a or o:
+        if shut:
+            n = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            if n is not None and not (tag in _INLINE and any(x[0] not in _INLINE for x in stack[n + 1 :])):
+                if any(h or a for _, _, h, a in stack[n:]):
                     flush()
-                stack.append((tag, c, a, o))
-                chrome, article, open_ = chrome + c, article + a, open_ + o
-        elif any(x[0] == tag for x in reversed(stack)):
-            inside = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)
-            if any(c or a or o for _, c, a, o in stack[inside:]):
-                if tag in _INLINE and any(x[0] not in _INLINE for x in stack[inside + 1 :]):
-                    continue  # a stray end tag does not close the blocks around it
+                close(n)
+        elif tag in _RAW:
+            flush()
+            ended = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
+            end = page.find(">", ended.end()) if ended else -1
+            at = end + 1 if end >= 0 else len(page)
+        elif tag not in _VOID:
+            if tag in _ENDS_OTHERS:
+                close(next((i + 1 for i in range(len(stack) - 1, -1, -1) if stack[i][0] in _ROOT), 0))
+            elif tag not in _INLINE:  # a paragraph ends where a block begins, an item where the next one begins
+                n = len(stack)
+                while n and stack[n - 1][0] in _INLINE:
+                    n -= 1
+                if n and (stack[n - 1][0] == "p" or stack[n - 1][0] == tag and tag in _SELF_ENDING):
+                    close(n - 1)
+            names = [_WORDS.findall(v.lower()) for v in _CLASS.findall(attributes)] if "=" in attributes else []
+            hides, named = tag in _NO_TEXT, tag in _ASIDE or any(_NAMED & set(w) for w in names)
+            if tag in _INLINE and named:
                 flush()
-            for _, c, a, o in stack[inside:]:
-                chrome, article, open_ = chrome - c, article - a, open_ - o
-            del stack[inside:]
+            shown = "" if tag in _ROOT or tag in _INLINE else ".".join([tag, *sorted({w for ws in names for w in ws})])
+            stack.append((tag, shown, hides, named and tag not in _ROOT))
+            hidden, aside = hidden + hides, aside + (named and tag not in _ROOT)
+            if shown and tag not in _TEXT_BLOCKS:
+                out.containers.add(path())
     held.append(page[at:])
     flush()
     return out
 
 
-def aligned(a: list[str], b: list[str]) -> set[int]:
-    """Positions of ``a`` in a longest common subsequence with ``b`` (bit-parallel, with a trace back)."""
+def aligned(a: list, b: list) -> set[int]:
+    """Positions of ``a`` in a longest common subsequence with ``b``.
+
+    Bit-parallel, with a trace back. Of the rows of the table only one in so many is kept (about
+    the root of them all), so that memory grows with the lines and not with their square.
+    """
     common = set(a) & set(b)
     if not common:
         return set()
     rows = [i for i, x in enumerate(a) if x in common]
     other = [x for x in b if x in common]
-    masks: dict[str, int] = {}
+    masks: dict = defaultdict(int)
     for k, i in enumerate(rows):
-        masks[a[i]] = masks.get(a[i], 0) | 1 << k
+        masks[a[i]] |= 1 << k
     full = (1 << len(rows)) - 1
-    states = [full]
-    for x in other:
-        v = states[-1]
+
+    def after(v: int, x) -> int:
         u = v & masks[x]
-        states.append(((v + u) | (v - u)) & full)
+        return ((v + u) | (v - u)) & full
+
+    step = max(1, int(len(other) ** 0.5))
+    kept, v = [full], full
+    for j, x in enumerate(other, 1):
+        v = after(v, x)
+        if j % step == 0:
+            kept.append(v)
     out, i, j = set(), len(rows) - 1, len(other)
     while i >= 0 and j > 0:
-        if states[j] >> i & 1:
-            i -= 1
-        elif not states[j - 1] >> i & 1:
-            j -= 1
-        else:
-            out.add(rows[i])
-            i, j = i - 1, j - 1
+        first = (j - 1) // step * step
+        states = [kept[first // step]]
+        for x in other[first:j]:
+            states.append(after(states[-1], x))
+        while i >= 0 and j > first:
+            if states[j - first] >> i & 1:
+                i -= 1
+            elif not states[j - first - 1] >> i & 1:
+                j -= 1
+            else:
+                out.add(rows[i])
+                i, j = i - 1, j - 1
     return out
 
 
-def main_text(page: list[Line], neighbours: list[list[Line]]) -> str:
-    """The lines that stay by the element rules and, where these leave it open, by differencing.
+def shared_lines(keys: list[int], sizes: list[int], neighbours: list[list[int]]) -> tuple[set[int], bool]:
+    """Lines that some neighbour shares, and whether any neighbour is no copy and could tell."""
+    out: set[int] = set()
+    told = False
+    for other in neighbours:
+        found = aligned(keys, other)
+        if len(found) >= _COPY * len(keys) and sum(sizes[i] for i in found) >= _COPY * sum(sizes):
+            continue
+        told = True
+        out |= found
+    return out, told
 
-    A neighbour that shares most of the page's body, in lines and in characters, is a copy and not
-    template: it tells nothing.
-    """
-    has_article = any(x.article and not x.chrome for x in page)
-    body = {i: len(x.text) for i, x in enumerate(page) if not x.chrome and (x.article or not has_article)}
-    open_ = {i for i in body if page[i].open or not has_article}
-    shared: set[int] = set()
-    texts = [x.text for x in page]
-    for other in neighbours if open_ else []:
-        found = aligned(texts, [x.text for x in other]) & body.keys()
-        if 2 * len(found) <= len(body) or 2 * sum(body[i] for i in found) <= sum(body.values()):
-            shared |= found
-    return " ".join(texts[i] for i in body if not (i in shared and i in open_))
-
-
-def _extracted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a range in order; each is told apart from the one before and the one after it."""
+
+def _compared(rows: Iterator[tuple], of: int) -> Iterator[tuple[tuple, list]]:
+    """Rows (chunk, host, lent, ...) of sorted ranges with item ``of`` of the rows of one host next to them."""
     before = now = None
-    out: list[tuple] = []
-    size = 0
 
-    def done(following: tuple | None) -> None:
-        nonlocal size
+    def near(following: tuple | None) -> list:
+        return [x[of] for x in (before, following) if x is not None and x[:2] == now[:2]]
+
+    for row in rows:
         if now is not None and not now[2]:
-            near = [x[5] for x in (before, following) if x is not None and x[:2] == now[:2]]
-            text = main_text(now[5], near)
-            out.append((now[3], now[4], text, len(text)))
-            size += len(text) + 100
+            yield now, near(row)
+        before, now = now, row
+    if now is not None and not now[2]:
+        yield now, near(None)
+
+
+def _dealt(pages: DataFrame) -> DataFrame:
+    n = 4 * shuffle_partitions(pages.sparkSession)
+    dealt = with_neighbours(pages, "key", "string", n, before=True, after=True)
+    return dealt.sortWithinPartitions("chunk", "key", "lent", *[c for c in ("keys", "html") if c in pages.columns])
+
+
+def _outlines(pages: DataFrame) -> DataFrame:
+    """host, key, and of each line a key, its size and its container: what differencing needs of a page."""
+
+    def outlined(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            found = [parse(x).lines for x in batch.column("html").to_pylist()]
+            types = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string()))
+            columns = ([[x.key - (1 << 63) for x in p] for p in found], [[len(x.text) for x in p] for p in found], [[x.at for x in p] for p in found])
+            yield pa.record_batch(
+                [batch.column("host"), batch.column("key"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["host", "key", "keys", "sizes", "ats"]
+            )
+
+    return pages.select("host", "key", "html").mapInArrow(outlined, "host string, key string, keys array<long>, sizes array<int>, ats array<string>")
+
+
+def _measured(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By page that could be compared and container: characters of unshared and of all lines."""
+
+    def flat() -> Iterator[tuple]:
+        for batch in rows:
+            yield from zip(*(batch.column(c).to_pylist() for c in ("chunk", "host", "lent", "keys", "sizes", "ats")), strict=True)
+
+    out: tuple[list, list, list, list, list] = ([], [], [], [], [])
+    for (_, host, _, keys, sizes, ats), near in _compared(flat(), 3):
+        shared, told = shared_lines(keys, sizes, near)
+        if told:
+            by: dict = defaultdict(lambda: [0, 0])
+            for i, (n, at) in enumerate(zip(sizes, ats, strict=True)):
+                by[at][0] += n * (i not in shared)
+                by[at][1] += n
+            for k, (at, (unshared, total)) in enumerate(by.items()):
+                for column, x in zip(out, (host, at, unshared, total, int(k == 0)), strict=True):
+                    column.append(x)
+        if len(out[0]) >= 20_000:
+            yield _sums(out)
+            out = ([], [], [], [], [])
+    if out[0]:
+        yield _sums(out)
+
+
+def _sums(out: tuple) -> pa.RecordBatch:
+    types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+    return pa.record_batch([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["host", "at", "unshared", "total", "pages"])
+
+
+def _article_of(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """By ``keys``: the deepest container with over half of all unshared text, and how many pages told."""
+    steps = F.split("at", ">", -1)
+    upto = F.concat(F.array(F.lit("")), F.when(F.col("at") == "", F.array().cast("array<string>")).otherwise(
+        F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), ">"))
+    ))
+    each = sums.select(*keys, "unshared", "pages", F.col("at").alias("own"), F.explode(upto).alias("at"))
+    held = each.groupBy(*keys, "at").agg(F.sum("unshared").alias("unshared"), F.sum("pages").alias("pages"))
+    whole = held.where(F.col("at") == "").select(*keys, F.col("unshared").alias("all"), F.col("pages").alias("told"))
+    both = held.join(whole, keys) if keys else held.crossJoin(F.broadcast(whole))  # one row
+    depth = F.when(F.col("at") == "", 0).otherwise(F.size(F.split("at", ">", -1)))
+    return both.where(F.col("unshared") * 2 > F.col("all")).groupBy(*keys).agg(F.max_by("at", depth).alias("article"), F.max("told").alias("told"))
+
+
+def learn(pages: DataFrame) -> tuple[DataFrame, str | None]:
+    """By host: the container of its articles (null where too few pages could be compared) and its
+    template containers, whose text is mostly shared; and the container of the whole corpus.
+
+    ``pages`` has host, key (which orders pages by URL) and html. Only hashes and sizes of lines are dealt out.
+    """
+    outlines = save(_outlines(pages), "page-outlines")
+    sums = _dealt(outlines).select("chunk", "host", "lent", "keys", "sizes", "ats").mapInArrow(
+        _measured, "host string, at string, unshared long, total long, pages long"
+    )
+    sums = save(sums.groupBy("host", "at").agg(*[F.sum(c).alias(c) for c in ("unshared", "total", "pages")]), "page-sums")
+    corpus = _article_of(sums, []).first()
+    template = sums.where(F.col("unshared") * 2 < F.col("total")).groupBy("host").agg(F.collect_set("at").alias("templates"))
+    article = _article_of(sums, ["host"]).select("host", F.when(F.col("told") >= _LEAST_PAGES, F.col("article")).alias("article"))
+    return article.join(template, "host", "full"), corpus["article"] if corpus else None
 
-    for batch in rows:
-        columns = [batch.column(c).to_pylist() for c in ("chunk", "host", "lent", "page_id", "url", "html")]
-        for chunk, host, lent, page_id, url, page in zip(*columns, strict=True):
-            row = (chunk, host, lent, page_id, url, lines(page))
-            done(row)
-            before, now = now, row
-            if size > 4 << 20:
-                yield _batch(out)
-                out, size = [], 0
-    done(None)
-    if out:
-        yield _batch(out)
 
+def _inside(at: str, container: str) -> bool:
+    return not container or at == container or at.startswith(container + ">")
 
-def _batch(out: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.string(), pa.string(), pa.int64()]
-    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["page_id", "url", "text", "n_chars"])
+
+def main_text(page: Page, neighbours: list[Page], articles: list[str | None] = (), templates: list[str] = ()) -> str:
+    """The lines inside the first of ``articles`` that the page has, without those that a neighbour
+    shares in containers that are ``templates``.
+
+    Where the page has none of them, or none is known, all lines stay but those that a neighbour
+    shares: nothing then tells an advert from a paragraph.
+    """
+    container = next((c for c in articles if c is not None and c in page.containers), None)
+    keys = [x.key for x in page.lines]
+    shared, _ = shared_lines(keys, [len(x.text) for x in page.lines], [[x.key for x in p.lines] for p in neighbours])
+    gone = {i for i in shared if not container or page.lines[i].at in templates}  # the body as a whole singles nothing out
+    return " ".join(x.text for i, x in enumerate(page.lines) if i not in gone and (container is None or _inside(x.at, container) and not x.aside))
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -226,8 +356,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null html is empty and gives empty text; pages with null urls are neighbours of each other.
     Equal urls stand in order of page_id; repeated rows give repeated results. Empty tables give
-    no rows; further columns are ignored. Every page is dealt out once by its URL, however many
-    pages its host has; only those at the borders of a range go to two tasks.
+    no rows; further columns are ignored. Pages are dealt out by their URL, however many pages
+    their host has; only those at the borders of a range go to two tasks.
     """
     spark = ship(pages.sparkSession)
     host, path = url_parts(F.col("url"))
@@ -235,9 +365,36 @@ def extract(pages: DataFrame) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.col("html"), host.alias("host"),
         F.concat_ws("\x01", host, path, F.format_string("%020d", F.coalesce(F.col("page_id").cast("long"), F.lit(0)))).alias("key"),
     )
-    dealt = with_neighbours(slim, "key", "string", 4 * shuffle_partitions(spark), before=True, after=True)
-    ordered = dealt.sortWithinPartitions("chunk", "key", "lent", "html").select("chunk", "host", "lent", "page_id", "url", "html")
-    return ordered.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    hosts, corpus = learn(slim)
+    hosts = save(hosts, "page-hosts")
+    if hosts.count() <= _BROADCAST_HOSTS:
+        hosts = F.broadcast(hosts)
+    known = _dealt(slim.join(hosts, "host", "left"))
+
+    def extracted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flat() -> Iterator[tuple]:
+            for batch in rows:
+                for *row, page in zip(*(batch.column(c).to_pylist() for c in ("chunk", "host", "lent", "page_id", "url", "article", "templates", "html")), strict=True):
+                    yield (*row, parse(page))
+
+        out: list[tuple] = []
+        size = 0
+        for (_, _, _, page_id, url, article, templates, page), near in _compared(flat(), 7):
+            text = main_text(page, near, [article, corpus], templates or [])
+            out.append((page_id, url, text, len(text)))
+            size += len(text) + 100
+            if size > 4 << 20:
+                yield _batch(out)
+                out, size = [], 0
+        if out:
+            yield _batch(out)
+
+    return known.select("chunk", "host", "lent", "page_id", "url", "article", "templates", "html").mapInArrow(extracted, "page_id long, url string, text string, n_chars long")
+
+
+def _batch(out: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.string(), pa.string(), pa.int64()]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["page_id", "url", "text", "n_chars"])
 
 
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,51 +58,82 @@ def test_pages_have_their_articles(spark, sf_dir):
         assert r["text"] == " ".join(html.unescape(want).split()) and r["n_chars"] == len(r["text"])
 
 
-PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><a>Home</a></nav>
-<div class="cookie-notice">We use cookies</div><div id="content"><h1>Title %s</h1><p>Body&nbsp;%s &amp; more<br>line</p><p>Shared line</p></div>
-<div class="sidebar">Side</div><section class="comments"><p>Nice!</p></section><form><input><p>Sign up</p></form>
+def test_the_neighbours_decide(spark, sf_dir):
+    """Without pages to compare with, menus, adverts and footers stay on every given page."""
+    got = {r["page_id"]: r["text"] for r in html_extract.op6_html_extract(spark, sf_dir).collect()}
+    for i, page in duck("SELECT page_id, html FROM pages", sf_dir)[1]:
+        assert len(html_extract.main_text(html_extract.parse(page), [])) > len(got[i])
+
+
+PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><a>Home %s</a></nav>
+<div class="cookie-bar">We use cookies</div><div id="content"><h1>Title %s</h1><p>Body&nbsp;%s &amp; more<br>line</p><p>Shared line</p><div class="share">Share this</div></div>
+<div class="box">Side</div><section class="comments"><p>Nice, says %s!</p></section><form><input><p>Sign up</p></form>
 <script>var x = "</p><p>no";</script><footer>&copy; Us</footer></body></html>"""
+NAMES = "red green blue white black grey pink".split()
+
+
+def _texts(spark, pages, url="https://h.example/a/%s"):
+    rows = [(i, url % i, p, "x", 1) for i, p in enumerate(pages)]
+    return {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, lent int")).collect()}
+
+
+def test_differencing_finds_the_articles_of_a_host(spark):
+    """Unshared text stands in one container; a container whose text is shared is template, one shared line is not."""
+    got = _texts(spark, [PAGE % (n, n, (n + " ") * 9, n) for n in NAMES])
+    for i, n in enumerate(NAMES):
+        assert got[i] == f"Title {n} Body {n} {(n + ' ') * 8}& more line Shared line"
+
 
+def test_elements_inside_the_articles_say_what_they_are():
+    page = html_extract.parse("<article>A<aside>B</aside><div class='ad'>C</div>D<nav>E</nav><section id=comments>F</section></article>G")
+    assert html_extract.main_text(page, [], ["article"]) == "A D" and html_extract.main_text(page, [], [None, "div"]) == "A B C D E F G"
 
-def test_differencing_deletes_shared_lines(spark):
-    rows = [(i, f"https://h.example/a/{i}", PAGE % (i, i), "x") for i in range(3)] + [(9, "https://other.example/", PAGE % (9, 9), "x"), (10, None, None, "x")]
-    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()}
-    assert got[0] == "Title 0 Body 0 & more"  # the shared lines are template here
-    assert got[9] == "Title 9 Body 9 & more line Shared line" and got[10] == ""
+
+def test_single_pages_take_the_container_of_the_corpus(spark):
+    rows = [(i, f"https://h.example/a/{i}", PAGE % (n, n, n * 9, n)) for i, n in enumerate(NAMES)] + [(9, "https://other.example/", PAGE % ("x", "x", "x", "x")), (10, None, None)]
+    rows += [(11, "https://third.example/", "<p>No such container</p>")]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[9] == "Title x Body x & more line Shared line Share this" and got[10] == "" and got[11] == "No such container"
+
+
+def test_without_containers_shared_lines_are_deleted(spark):
+    got = _texts(spark, [f"<p>Menu</p><p>About {n} {n}</p><p>{n} at last</p><p>All rights</p>" for n in NAMES])
+    assert got == {i: f"About {n} {n} {n} at last" for i, n in enumerate(NAMES)}
 
 
 @pytest.mark.parametrize(
     ("page", "want"),
     [
-        ("<head><title>T<body><p>One", "One"), ("<nav>Menu<main><p>Two</main>after", "Two"), ("<p title=\"a>b\">Three &lt;b&gt; &#233;", "Three <b> é"),
+        ("<head><title>T<body><p>One", "One"), ("<nav>Menu<main><p>Two</main>", "Menu Two"), ("<p title=\"a>b\">Three &lt;b&gt; &#233;", "Three <b> é"),
         ("no markup at all", "no markup at all"), ("<p>a<b>b</b>c</p>", "abc"), ("<script>x<p>", ""), ("<p>x<!-- <p>y", "x"), ("<a href='x>Four</a>", "Four"),
-        ("<article>A<aside>B</aside><div class='ad'>C</div>D</article>E", "A D"), ("a < b", "a < b"), ("", ""), (None, ""),
+        ("<article>A<aside>B</aside><div class='ad'>C</div>D</article>", "A B C D"), ("a < b", "a < b"), ("", ""), (None, ""), ("<", "<"), ("<p", "<p"), ("x</p>y", "x y"),
+        ("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>", "a b c d"), ("<p>a<div>b", "a b"), ("<svg><text>a</text></svg>b", "b"), ("<?x?><!DOCTYPE html>a", "a"),
     ],
 )
 def test_lines_of_broken_pages(page, want):
-    assert html_extract.main_text(html_extract.lines(page), []) == want
-
-
-def test_copies_of_a_page_keep_their_text(spark):
-    rows = [(i, f"https://h.example/a/{i}", "<p>One text</p><p>for both</p>") for i in range(2)]
-    assert {r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"One text for both"}
-    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-
+    assert html_extract.main_text(html_extract.parse(page), []) == want
 
-def _texts(spark, pages):
-    rows = [(i, f"https://h.example/a/{i}", p) for i, p in enumerate(pages)]
-    return {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
 
+def test_long_and_hostile_pages_take_linear_time():
+    import time
 
-def test_near_copies_keep_their_paragraphs(spark):
-    got = _texts(spark, [f"<div>Day {i}</div><p>One long paragraph</p><p>and another one</p><p>to the end</p>" for i in range(3)])
-    assert got == {i: f"Day {i} One long paragraph and another one to the end" for i in range(3)}
+    n = 1_000_000
+    pages = ["<a \"" * (n // 4), "<a \">\"" * (n // 6), "<p>" * (n // 3), "<" * n, "<!--" * (n // 4), "<div>" * 5_000 + "x" * n, "<b>" * (n // 3) + "x", "&amp;" * (n // 5), "<a '\"" * (n // 5) + ">"]
+    for page in pages:
+        began = time.process_time()
+        html_extract.parse(page)
+        assert time.process_time() - began < 20
+    a, b = [f"{i % 700}" for i in range(20_000)], [f"{i % 900}" for i in range(20_000)]
+    assert len(html_extract.aligned(a, b)) > 10_000
 
 
-def test_class_words_inside_an_article_are_left_to_differencing(spark):
-    page = "<main class='related'><h1>Title %s</h1><p class='social comments'>On social groups %s</p><p>Text %s</p><div class='share'>Share this</div><div class='ads'>Buy %s</div></main>"
-    got = _texts(spark, [page % (i, i, i, i) for i in range(3)])
-    assert got == {i: f"Title {i} On social groups {i} Text {i}" for i in range(3)}  # shared lines of such blocks are template
+def test_copies_and_near_copies_of_a_page_keep_their_text(spark):
+    assert set(_texts(spark, ["<p>One text</p><p>for both</p>"] * 2).values()) == {"One text for both"}
+    got = _texts(spark, [f"<div>Day {i}</div><p>One long paragraph</p><p>and another one</p><p>to the end</p>" for i in range(7)])
+    assert got == {i: f"Day {i} One long paragraph and another one to the end" for i in range(7)}
+    rows = spark.createDataFrame([(1, "https://h.example/", "<p>a</p>")] * 3, "page_id long, url string, html string")
+    assert [r["text"] for r in html_extract.extract(rows).collect()] == ["a"] * 3  # repeated rows
+    assert html_extract.extract(rows.limit(0)).count() == 0
 
 
 @settings(max_examples=150)
