@@ -1,11 +1,19 @@
 """N-gram Jaccard join of documents by a MinHash LSH forest with exact verification.
 
-Texts with equal sets of five-word shingles are one node. Each tree of the forest has a MinHash
-signature of its own; nodes under one signature prefix are candidates. The prefix has one length,
-the longest at which the trees together reach the target recall at the wanted similarity: fixed
-banding (24 bands of 5 at 0.8 and 0.9999), without a sorted trie. Prefixes that hold the same nodes in several trees are looked at once. Candidates are
-verified on their whole shingle sets, inside blocks of bounded size: a prefix with more nodes than
-a block is dealt out as pairs of blocks, so that no pair is lost and none becomes a row.
+Texts with equal sets of five-word shingles are one node. Every tree of the forest is a trie of
+MinHash signatures of its own, kept as sorted binary keys: what nodes share of their keys' beginnings
+is their path in the trie. Candidates come from the longest prefix first. Then matched prefixes are
+shortened: only trie nodes that branch below the shorter one bring new pairs, and pairs that met
+under the longer prefix, or in an earlier tree, are not looked at again.
+
+How far prefixes are shortened depends on what is found. A link of similarity s has met by now with
+the probability 1 - (1 - s^length)^trees; so the similarities of the links found tell how many are
+still missing and how short prefixes have to become to reach the recall; after that round the
+estimate is made anew. It stops at :func:`shortest_prefix` at the latest, where even pairs just at
+the threshold reach the recall.
+
+Candidates are verified on their whole shingle sets, inside blocks of bounded size: a prefix with
+more nodes than a block is dealt out as pairs of blocks, so that no pair is lost and none becomes a row.
 """
 
 from __future__ import annotations
@@ -23,32 +31,43 @@ from rivulet.llm._tables import table
 from rivulet.llm._text import U, batches, mix, shingles, word_hashes
 
 TREES, LONGEST = 24, 8
-_BLOCK = 512
-_BROADCAST_ROWS = 1_000_000
+_WIDTH = 2  # bytes of each minimum in a key
+_BLOCK, _BLOCK_BYTES = 1024, 4 << 20
+_BROADCAST_BYTES = 32 << 20
+_BINS = 20  # of the similarities from the threshold to 1
+_HOT_KEYS, _SALTS = 1_000, 64
 
 _RANDOM = np.random.default_rng(7)
 _A = _RANDOM.integers(1, 1 << 63, TREES * LONGEST, dtype=np.int64).astype(U) * U(2) + U(1)
 _B = _RANDOM.integers(0, 1 << 63, TREES * LONGEST, dtype=np.int64).astype(U)
 
 
-def prefix_length(similarity: float, recall: float, trees: int = TREES, longest: int = LONGEST) -> int:
+def met(similarity: float, length: int, trees: int = TREES) -> float:
+    """Probability that a pair of this similarity shares a prefix of this length in some tree."""
+    return 1 - (1 - similarity**length) ** trees
+
+
+def shortest_prefix(similarity: float, recall: float, trees: int = TREES, longest: int = LONGEST) -> int:
     """The longest prefix at which some tree matches a pair of this similarity with probability ``recall``."""
-    length = longest
-    while length > 1 and 1 - (1 - similarity**length) ** trees < recall:
-        length -= 1
-    return length
+    return next((n for n in range(longest, 1, -1) if met(similarity, n, trees) >= recall), 1)
+
+
+def estimated_recall(bins: list[int], length: int, similarity: float, at: int | None = None) -> float:
+    """Share of all links that are found down to the prefix length ``at``, from the numbers of links
+    by similarity that were found down to ``length``."""
+    known = [met(similarity + k * (1 - similarity) / _BINS, length) for k in range(_BINS)]
+    then = [met(similarity + k * (1 - similarity) / _BINS, at or length) for k in range(_BINS)]
+    every = sum(n / p for n, p in zip(bins, known, strict=True))
+    return sum(n / p * q for n, p, q in zip(bins, known, then, strict=True)) / every if every else 0.0
 
 
-def prefixes(values: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
-    """One row per text (each has a shingle at least): the hash of its signature prefix in every tree."""
-    out = np.zeros((len(begin) - 1, TREES), dtype=U)
-    for tree in range(TREES):
-        held = np.full(len(begin) - 1, U(tree + 1))
-        for k in range(tree * LONGEST, tree * LONGEST + length):
-            least = np.minimum.reduceat((values * _A[k] + _B[k]) >> U(32), begin[:-1])
-            held = mix(held * U(0x9E3779B97F4A7C15) + least)
-        out[:, tree] = held
-    return out
+def trie_keys(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """One row per text (each has a shingle at least): by tree, its signature as 16-bit minima, high bytes first."""
+    out = np.zeros((len(begin) - 1, TREES * LONGEST), dtype=">u2")
+    for k in range(TREES * LONGEST):
+        least = np.minimum.reduceat((values * _A[k] + _B[k]) >> U(32), begin[:-1])
+        out[:, k] = mix(least) >> U(48)
+    return out.reshape(len(out), TREES, LONGEST)
 
 
 def _sets(texts: list[str | None], n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -58,37 +77,52 @@ def _sets(texts: list[str | None], n: int) -> Iterator[tuple[int, np.ndarray]]:
             yield i, np.unique(values[begin[i] : begin[i + 1]])
 
 
-def signatures(docs: DataFrame, length: int, n: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, text_key, node (digest of the shingle set; null without words) and the prefixes of every row."""
-    names = ["doc_id", "text_key", "node", "keys"]
+def signatures(docs: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
+    """doc_id, text_key, node (digest of the shingle set; null without words), its shingles' number and trie keys of every row."""
+    names = ["doc_id", "text_key", "node", "shingles", "keys"]
 
     def signed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for start, texts in batches(batch, "text", 1 << 18):
                 node: list = [None] * len(texts)
+                size: list = [None] * len(texts)
                 keys: list = [None] * len(texts)
                 found = list(_sets(texts, n))
                 if found:
                     begin = np.zeros(len(found) + 1, dtype=np.int64)
                     np.cumsum([len(s) for _, s in found], out=begin[1:])
                     values = np.concatenate([s for _, s in found])
-                    for (i, s), own in zip(found, prefixes(values, begin, length).view(np.int64), strict=True):
-                        node[i], keys[i] = xxhash.xxh3_128_hexdigest(s.tobytes()), own
+                    for (i, s), own in zip(found, trie_keys(values, begin), strict=True):
+                        node[i], size[i], keys[i] = xxhash.xxh3_128_hexdigest(s.tobytes()), len(s), own.tobytes()
                 part = batch.slice(start, len(texts))
-                yield pa.record_batch([part.column("doc_id"), part.column("text_key"), pa.array(node, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names)
+                yield pa.record_batch(
+                    [part.column("doc_id"), part.column("text_key"), pa.array(node, pa.string()), pa.array(size, pa.int64()), pa.array(keys, pa.binary())], names
+                )
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
-    return slim.mapInArrow(signed, "doc_id long, text_key long, node string, keys array<long>")
+    return slim.mapInArrow(signed, "doc_id long, text_key long, node string, shingles long, keys binary")
+
+
+_LINK_NAMES, _LINK_TYPES = ["node", "other", "links", "bins"], (pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()))
+
 
+def _verify(members: DataFrame, similarity: float, length: int, before: int | None) -> DataFrame:
+    """Per group and node with links in it: the group's first linked node, how many documents it links
+    to, and its links to later nodes of the group by similarity."""
 
-def _verify(members: DataFrame, similarity: float) -> DataFrame:
-    """Per group and node with links in it: the group's first linked node, and how many documents it links to."""
+    def hashed(keys: np.ndarray, upto: int) -> np.ndarray:
+        """A hash of each tree's prefix."""
+        out = np.zeros(keys.shape[:2], dtype=U)
+        for k in range(upto):
+            out = mix(out * U(0x9E3779B97F4A7C15) + keys[:, :, k].astype(U))
+        return out
 
     def verified(tree: int, rows: dict[str, tuple]) -> list[tuple]:
         nodes = sorted(rows)
         side = np.array([rows[x][0] for x in nodes])
         copies = np.array([rows[x][1] for x in nodes])
-        keys = np.stack([np.frombuffer(rows[x][2], dtype=np.int64) for x in nodes])
+        keys = np.stack([np.frombuffer(rows[x][2], dtype=">u2").reshape(TREES, LONGEST) for x in nodes])
+        now, longer = hashed(keys, length), hashed(keys, before) if before else None
         sets = [np.frombuffer(rows[x][3], dtype=U) for x in nodes]
         size = np.array([len(s) for s in sets])
         begin = np.cumsum(size) - size
@@ -96,6 +130,7 @@ def _verify(members: DataFrame, similarity: float) -> DataFrame:
         flag = np.zeros(int(ids.max()) + 1, dtype=np.int32)
         two = side.min() != side.max()
         root, links = np.arange(len(nodes)), np.zeros(len(nodes), dtype=np.int64)
+        bins = np.zeros((len(nodes), _BINS), dtype=np.int64)
 
         def top(x: int) -> int:
             while root[x] != x:
@@ -105,11 +140,15 @@ def _verify(members: DataFrame, similarity: float) -> DataFrame:
 
         for i in range(len(nodes) - 1):
             later = np.arange(i + 1, len(nodes))
-            wanted = (np.minimum(size[later], size[i]) >= similarity * np.maximum(size[later], size[i]))
-            wanted &= ~(keys[later, :tree] == keys[i, :tree]).any(axis=1)  # met in an earlier tree
+            wanted = np.minimum(size[later], size[i]) >= similarity * np.maximum(size[later], size[i])
             if two:
                 wanted &= side[later] != side[i]
             later = later[wanted]
+            if len(later):
+                known = (now[later, :tree] == now[i, :tree]).any(axis=1)  # met in an earlier tree
+                if longer is not None:
+                    known |= (longer[later] == longer[i]).any(axis=1)  # met under a longer prefix
+                later = later[~known]
             if not len(later):
                 continue
             own = ids[begin[i] : begin[i] + size[i]]
@@ -119,12 +158,15 @@ def _verify(members: DataFrame, similarity: float) -> DataFrame:
             else:
                 common = np.add.reduceat(flag[ids], begin)[later]
             flag[own] = 0
-            for j in later[common >= similarity * (size[i] + size[later] - common) - 1e-9]:
+            alike = common / (size[i] + size[later] - common)
+            good = common >= similarity * (size[i] + size[later] - common) - 1e-9
+            bins[i] = np.bincount(np.clip(((alike[good] - similarity) / (1 - similarity + 1e-9) * _BINS).astype(int), 0, _BINS - 1), minlength=_BINS)
+            for j in later[good]:
                 links[i] += copies[j]
                 links[j] += copies[i]
                 a, b = sorted((top(i), top(int(j))))
                 root[b] = a
-        return [(nodes[i], nodes[top(i)], int(links[i])) for i in np.flatnonzero(links)]
+        return [(nodes[i], nodes[top(i)], int(links[i]), bins[i].tolist()) for i in np.flatnonzero(links)]
 
     def groups(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows, out = None, {}, []
@@ -137,12 +179,29 @@ def _verify(members: DataFrame, similarity: float) -> DataFrame:
                     now, rows = key, {}
                 rows[node] = tuple(row)
             if out:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], ["node", "other", "links"])
+                yield _links(out)
                 out = []
         if len(rows) > 1 and (out := verified(now[0], rows)):
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], ["node", "other", "links"])
+            yield _links(out)
 
-    return members.mapInArrow(groups, "node string, other string, links long")
+    return members.mapInArrow(groups, "node string, other string, links long, bins array<long>")
+
+
+def _links(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _LINK_TYPES, strict=True)], _LINK_NAMES)
+
+
+def _with_least(edges: DataFrame, rows: int) -> DataFrame:
+    """Edges (u, v) with ``m``, the smallest node next to u or u itself.
+
+    A node with a large share of all edges is dealt out: at most ``_HOT_KEYS`` nodes have so many
+    that their edges are joined by a further hash of v.
+    """
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    many = F.col("n") > max(1_000, rows // _HOT_KEYS)
+    hot = F.broadcast(least.where(many).select("u", F.lit(_SALTS).alias("salts")))
+    salted = edges.join(hot, "u", "left").withColumn("salt", F.pmod(F.xxhash64("v"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    return salted.join(least.select("u", "m", F.explode(F.sequence(F.lit(0), F.when(many, _SALTS - 1).otherwise(0))).alias("salt")), ["u", "salt"]).select("u", "v", "m")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -158,16 +217,78 @@ def components(edges: DataFrame) -> DataFrame:
     now = measured(held)
     while True:
         both = held.unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.when(F.col("v") != F.col("m"), F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).otherwise(F.array(F.struct("u", F.col("m").alias("v"))))).alias("e")).select("e.*").distinct()
+        large = _with_least(both, 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        pair = lambda a, b: F.struct(F.col(a).alias("u"), F.col(b).alias("v"))
+        small = _with_least(large, now[0]).select(F.explode(F.when(F.col("v") != F.col("m"), F.array(pair("v", "m"), pair("u", "m"))).otherwise(F.array(pair("u", "m")))).alias("e")).select("e.*").distinct()
         held = save(small, "edges")
         before, now = now, measured(held)
         if now == before:
             return held.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(held.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _candidates(matched: DataFrame, length: int, before: int | None, blocks: tuple[int, int] = (_BLOCK, _BLOCK_BYTES)) -> DataFrame:
+    """node, first, copies and ``at``: the groups (and the pairs of blocks in them) of each node under
+    prefixes of this length that bring pairs which did not meet ``before``, at that length. Groups of the same nodes in several trees are one."""
+    prefix = F.substring("key", 1, _WIDTH * length)
+    longer = F.substring("key", 1, _WIDTH * (before or LONGEST))
+    held = matched.withColumn("prefix", prefix)
+    full = held.groupBy("tree", "prefix").agg(
+        F.count("*").alias("size"), F.sum("shingles").alias("shingles"), F.bit_xor(F.xxhash64("node")).alias("one"),
+        F.bit_xor(F.xxhash64(F.lit("two"), F.col("node"))).alias("two"), (F.min(longer) != F.max(longer)).alias("branches"),
+    ).where("size > 1")
+    if before:
+        full = full.where("branches")
+    parts = F.greatest(F.ceil(F.col("size") / blocks[0]), F.ceil(F.col("shingles") * 8 / blocks[1])).cast("int")
+    once = full.groupBy("size", "shingles", "one", "two").agg(F.min(F.struct("tree", "prefix")).alias("at")).select("at.*", F.least(parts, "size").cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
+    return (
+        held.join(once, ["tree", "prefix"])
+        .withColumn("side", mine)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("node", "first", "copies", F.struct("tree", "prefix", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side").alias("at"))
+        .groupBy("node", "first", "copies").agg(F.collect_list("at").alias("at"))
+    )
+
+
+def _compared(spark: SparkSession, texts: DataFrame, wanted: DataFrame, similarity: float, length: int, before: int | None, n: int) -> DataFrame:
+    """Links among the nodes of each group, from the texts (first, text) of the nodes."""
+    size = wanted.agg(F.sum(F.size("at") * 48 + 120)).first()[0] or 0
+    gid_type = pa.struct([("tree", pa.int32()), ("prefix", pa.binary()), ("low", pa.int32()), ("high", pa.int32())])
+    types = (gid_type, pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+
+    def gathered(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for start, part_texts in batches(batch, "text", 1 << 18):
+                part = batch.slice(start, len(part_texts))
+                node, copies, at = (part.column(c).to_pylist() for c in ("node", "copies", "at"))
+                found = [(i, s) for i, s in _sets(part_texts, n) if xxhash.xxh3_128_hexdigest(s.tobytes()) == node[i]]
+                if not found:
+                    continue
+                begin = np.zeros(len(found) + 1, dtype=np.int64)
+                np.cumsum([len(s) for _, s in found], out=begin[1:])
+                keys = trie_keys(np.concatenate([s for _, s in found]), begin)
+                out, held = [], 0
+                for (i, s), own in zip(found, keys, strict=True):
+                    own, s = own.tobytes(), s.tobytes()
+                    for g in at[i]:
+                        out.append(({k: g[k] for k in ("tree", "prefix", "low", "high")}, node[i], g["side"], copies[i], own, s))
+                        held += len(s) + 500
+                        if held > 8 << 20:
+                            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], _MEMBERS)
+                            out, held = [], 0
+                if out:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], _MEMBERS)
+
+    sets = texts.join(F.broadcast(wanted) if size <= _BROADCAST_BYTES else wanted, "first").select("node", "copies", "at", "text").mapInArrow(
+        gathered, "gid struct<tree:int,prefix:binary,low:int,high:int>, node string, side int, copies long, keys binary, set binary"
+    )
+    dealt = sets.repartition(2 * shuffle_partitions(spark), "gid").sortWithinPartitions("gid")
+    return _verify(dealt, similarity, length, before)
+
+
+_MEMBERS = ["gid", "node", "side", "copies", "keys", "set"]
+
+
 def near_duplicates(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, recall: float = 0.9999, n: int = 5
 ) -> DataFrame:
@@ -179,55 +300,30 @@ def near_duplicates(
     other. Empty tables give no rows; further columns are ignored.
     """
     spark = ship(docs.sparkSession)
-    length = prefix_length(similarity, recall)
-    signed = save(signatures(docs, length, n, doc_id, text), "signatures")
+    signed = save(signatures(docs, n, doc_id, text), "signatures")
     known = signed.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
-    nodes = save(known.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.any_value("keys").alias("keys")), "nodes")
+    nodes = save(known.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.any_value("shingles").alias("shingles"), F.any_value("keys").alias("keys")), "nodes")
+    texts = docs.select(F.col(doc_id).cast("long").alias("first"), F.col(text).alias("text"))
 
-    placed = nodes.select("node", "first", "copies", F.posexplode("keys").alias("tree", "key"))
-    full = placed.groupBy("tree", "key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("members")).where("size > 1")
-    once = full.groupBy("size", "members").agg(F.min(F.struct("tree", "key")).alias("at")).select("at.*", "size")
-    blocks = F.ceil(F.col("size") / _BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
-    members = (
-        placed.join(once, ["tree", "key"])
-        .withColumn("blocks", blocks)
-        .withColumn("side", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "node", "first", "copies",
-            F.struct("tree", "key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side").alias("at"),
-        )
-    )
-    wanted = save(members.groupBy("node", "first", "copies").agg(F.collect_list("at").alias("at")), "members")
-    few = (wanted.agg(F.sum(F.size("at"))).first()[0] or 0) <= _BROADCAST_ROWS
+    last = shortest_prefix(similarity, recall)
+    width = _WIDTH * LONGEST
+    each = nodes.select("node", "first", "copies", "shingles", "keys", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    placed = each.select("node", "first", "copies", "shingles", "tree", F.substring("keys", F.col("tree") * width + 1, F.lit(width)).alias("key"))
+    placed = placed.withColumn("start", F.substring("key", 1, _WIDTH * last))
+    matched = save(placed.join(placed.groupBy("tree", "start").agg(F.count("*").alias("n")).where("n > 1").drop("n"), ["tree", "start"]).drop("start"), "matched")
 
-    def compared(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            for start, texts in batches(batch, "text", 1 << 18):
-                part = batch.slice(start, len(texts))
-                node, copies, at = (part.column(c).to_pylist() for c in ("node", "copies", "at"))
-                found = [(i, s) for i, s in _sets(texts, n) if xxhash.xxh3_128_hexdigest(s.tobytes()) == node[i]]
-                if not found:
-                    continue
-                begin = np.zeros(len(found) + 1, dtype=np.int64)
-                np.cumsum([len(s) for _, s in found], out=begin[1:])
-                keys = prefixes(np.concatenate([s for _, s in found]), begin, length)
-                for at_once in range(0, len(found), 64):
-                    out = [
-                        ({k: g[k] for k in ("tree", "key", "low", "high")}, node[i], g["side"], copies[i], own.tobytes(), s.tobytes())
-                        for (i, s), own in zip(found[at_once : at_once + 64], keys[at_once : at_once + 64], strict=True) for g in at[i]
-                    ]
-                    gid = pa.struct([("tree", pa.int32()), ("key", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
-                    types = (gid, pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["gid", "node", "side", "copies", "keys", "set"])
-
-    texts = docs.select(F.col(doc_id).cast("long").alias("first"), F.col(text).alias("text"))
-    sets = texts.join(F.broadcast(wanted) if few else wanted, "first").select("node", "copies", "at", "text").mapInArrow(
-        compared, "gid struct<tree:int,key:long,low:int,high:int>, node string, side int, copies long, keys binary, set binary"
-    )
-    dealt = sets.repartition(2 * shuffle_partitions(spark), "gid").sortWithinPartitions("gid")
-    links = save(_verify(dealt, similarity), "links")
+    found, bins, before, length = [], [0] * _BINS, None, LONGEST
+    while True:
+        wanted = save(_candidates(matched, length, before), "candidates")
+        found.append(save(_compared(spark, texts, wanted, similarity, length, before, n), "links"))
+        new = found[-1].agg(*[F.coalesce(F.sum(F.get("bins", F.lit(k))), F.lit(0)) for k in range(_BINS)]).first()
+        bins = [a + b for a, b in zip(bins, new, strict=True)]
+        if length == last or estimated_recall(bins, length, similarity) >= recall:
+            break
+        before, length = length, next((k for k in range(length - 1, last, -1) if estimated_recall(bins, length, similarity, k) >= recall), last)
+    links = found[0]
+    for more in found[1:]:
+        links = links.unionByName(more)
     roots = components(links)
     degree = links.groupBy("node").agg(F.sum("links").alias("links"))
     classes = roots.join(nodes.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("class"))

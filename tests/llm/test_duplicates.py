@@ -4,7 +4,8 @@ from llm_helpers import near_duplicates as brute_near
 from llm_helpers import removed as brute_removed
 from pyspark.sql import functions as F
 
-from rivulet.llm.near_duplicates import components, keep_first, near_duplicates, prefix_length
+from rivulet.llm import near_duplicates as forest
+from rivulet.llm.near_duplicates import components, keep_first, near_duplicates, shortest_prefix
 from rivulet.llm.substring_dedup import remove_repeats
 
 
@@ -46,8 +47,31 @@ def test_near_duplicates_of_many(spark):
     assert tuple(facts) == (0, 0, 699, 699)
 
 
-def test_recall_decides_the_prefix():
-    assert prefix_length(0.8, 0.9999) < prefix_length(0.95, 0.9999) and prefix_length(0.8, 1.1) == 1
+def test_near_duplicates_of_the_documents_against_all_pairs(spark, sf_dir):
+    """All links of the given table, whatever the estimate says: recall 1."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    assert sorted(map(tuple, forest.op9_near_duplicates(spark, sf_dir).collect())) == sorted(brute_near(rows))
+
+
+def test_recall_decides_how_far_prefixes_are_shortened():
+    assert shortest_prefix(0.8, 0.9999) < shortest_prefix(0.95, 0.9999) and shortest_prefix(0.8, 1.1) == 1
+    near, far = [100] + [0] * 19, [0] * 19 + [100]
+    assert forest.estimated_recall(far, 8, 0.8) > 0.9999 > forest.estimated_recall(near, 8, 0.8)  # close copies need no shorter prefix
+    found = [forest.estimated_recall(near, 8, 0.8, k) for k in range(8, 4, -1)]
+    assert found == sorted(found) and found[-1] > 0.9999 and forest.estimated_recall([0] * 20, 8, 0.8) == 0
+
+
+def test_only_branching_prefixes_bring_new_pairs(spark):
+    key = lambda *x: b"".join(v.to_bytes(2, "big") for v in x)
+    rows = [(n, i, 1, 9, 0, key(1, 2, 3, 4, 5, *end)) for i, (n, end) in enumerate({"a": (1, 1, 1), "b": (1, 1, 1), "c": (2, 1, 1), "d": (3, 3, 3)}.items())]
+    rows += [("a", 0, 1, 9, 1, key(*range(8))), ("b", 1, 1, 9, 1, key(*range(8))), ("e", 4, 1, 9, 1, key(*range(1, 9)))]
+    matched = spark.createDataFrame(rows, "node string, first long, copies long, shingles long, tree int, key binary")
+    longest = {r["node"]: len(r["at"]) for r in forest._candidates(matched, 8, None).collect()}
+    assert longest == {"a": 1, "b": 1}  # the same pair in both trees is one group
+    shorter = {r["node"]: len(r["at"]) for r in forest._candidates(matched, 5, 8).collect()}
+    assert shorter == {"a": 1, "b": 1, "c": 1, "d": 1}
+    parts = forest._candidates(matched, 5, 8, (1, 1 << 20)).collect()  # blocks of one node
+    assert {r["node"]: len(r["at"]) for r in parts} == {"a": 4, "b": 4, "c": 4, "d": 4}
 
 
 def test_components_of_a_long_chain(spark):
@@ -56,6 +80,13 @@ def test_components_of_a_long_chain(spark):
     assert set(found.values()) == {"n000", "z0"} and len(found) == 63
 
 
+def test_components_of_a_large_star(spark):
+    """A node with most of all edges is dealt out by a further hash."""
+    edges = spark.range(4000).select(F.format_string("n%05d", F.col("id") + 1).alias("node"), F.lit("n00000").alias("other"))
+    found = components(edges.unionByName(spark.createDataFrame([("y", "x")], "node string, other string")))
+    assert {(r["root"], r["count"]) for r in found.groupBy("root").count().collect()} == {("n00000", 4001), ("x", 2)}
+
+
 def test_odd_documents_near(odd, empty):
     assert near_duplicates(odd).count() == odd.count() and near_duplicates(empty).count() == 0
     kept = keep_first(odd)
@@ -83,13 +114,3 @@ def test_odd_documents_removed(odd, empty):
     assert _gone(odd) == brute_removed(rows) and _gone(empty) == []
     kept = {r["doc_id"]: bytes(r["kept"]) for r in remove_repeats(odd).collect()}
     assert kept[5] == b"" and kept[1].startswith(b"The quick")
-
-
-def test_the_forest_is_stated_as_fixed_banding():
-    """Where the prefix is one length, the README says so."""
-    from pathlib import Path
-
-    from rivulet.llm.near_duplicates import TREES, prefix_length
-
-    readme = (Path(__file__).parents[2] / "README.md").read_text()
-    assert f"fixed banding, {TREES} bands of {prefix_length(0.8, 0.9999)}" in readme
