@@ -1,17 +1,20 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary labelled texts, one on windows of toxic
-texts that recur there and not in ordinary ones. The second is set behind a copy of the first, so
-that everyday language costs the same under both, and what a window of a few words saves is due to
-the toxic dictionary. Savings over a text's windows are turned into a score by a logistic curve;
-its threshold is calibrated on labelled texts that the dictionaries have not seen.
+Two zstandard dictionaries are made from labelled texts: one of ordinary texts, one trained on
+windows of toxic texts. Everyday language has to cost the same under both, or its chance matches
+drown what is toxic; so both stand behind the same ordinary background. A window of a text is
+compressed under each, and the difference of the two lengths says how toxic it is.
+
+Toxic texts are mostly everyday language, too. Which of their windows the dictionary is trained on
+is decided by the same distance: a window stays while a dictionary of the windows from other
+toxic texts compresses it better than the ordinary one, round by round. A threshold for windows and one for texts are calibrated on labelled texts that neither
+dictionary has seen.
 """
 
 from __future__ import annotations
 
 import random
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,9 +30,10 @@ from rivulet.llm._text import batches
 from rivulet.llm.language_id import fold
 
 _WORD = re.compile(r"[^\W_]+")
-_WINDOW = 10  # words
-_LEVEL = 3
-_ORDINARY_BYTES = 112_000
+_WINDOW = 5  # words that are compressed together
+_MINED = ((2, 3, 6, 2, 1), (3, 2, 3, 4, 1))
+_TOXIC_BYTES = 2_048
+_INDEX = 22  # bits of the largest table of positions: all of a dictionary of 4 MB is found
 _HASHES = 1 << 30
 
 
@@ -37,42 +41,49 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def windows(found: list[str]) -> list[bytes]:
-    return [(" " + " ".join(found[i : i + _WINDOW]) + " ").encode() for i in range(0, len(found), _WINDOW)]
+def windows(found: list[str], n: int = _WINDOW) -> list[bytes]:
+    return [(" " + " ".join(found[i : i + n]) + " ").encode() for i in range(0, len(found), n)]
+
+
+def _compressor(data: bytes):
+    bits = min(_INDEX, max(12, len(data).bit_length()))
+    held = zstandard.ZstdCompressionParameters(
+        window_log=bits + 1, hash_log=bits, chain_log=bits, search_log=4, min_match=4, target_length=32, strategy=zstandard.STRATEGY_DFAST,
+        write_content_size=False, write_checksum=False, write_dict_id=False,
+    )
+    d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(compression_params=held)
+    return zstandard.ZstdCompressor(compression_params=held, dict_data=d).compress
 
 
 @dataclass
 class Model:
     ordinary: bytes
-    toxic: bytes
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(5))
+    toxic: bytes  # what stands behind the ordinary background in the toxic dictionary
+    window_cut: float = 0.0  # bytes saved on a window that do not count
+    text_cut: float = 1.0
+    spread: float = 1.0
     _made: tuple | None = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
         return {**self.__dict__, "_made": None}
 
-    def _compressors(self) -> tuple:
+    def saved(self, text: str | None) -> np.ndarray:
+        """Of each window: its length under the ordinary dictionary less that under the toxic one."""
         if self._made is None:
-            out = []
-            for data in (self.ordinary, self.ordinary + self.toxic):
-                d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=_LEVEL)
-                out.append(zstandard.ZstdCompressor(level=_LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
-            self._made = tuple(out)
-        return self._made
-
-    def features(self, text: str | None) -> list[float]:
-        """Of the bytes that the toxic dictionary saves on each window: a constant, largest, how many and what share are high, mean."""
-        plain, toxic = self._compressors()
-        saved = [len(plain(x)) - len(toxic(x)) for x in windows(words(text))]
-        if not saved:
-            return [1.0, 0.0, 0.0, 0.0, 0.0]
-        high = sum(x >= 3 for x in saved)
-        return [1.0, min(max(saved), 12) / 4, float(np.log1p(high)), 4 * (high / len(saved)) ** 0.5, sum(max(-1, min(x, 8)) for x in saved) / len(saved)]
+            self._made = _compressor(self.ordinary), _compressor(self.ordinary + self.toxic)
+        plain, toxic = self._made
+        return np.array([len(plain(x)) - len(toxic(x)) for x in windows(words(text))], dtype=np.int64)
+
+    def distance(self, saved: np.ndarray, cut: float | None = None) -> float:
+        """Bytes saved above the window threshold, over the root of the number of windows (which chance grows with)."""
+        cut = self.window_cut if cut is None else cut
+        return float(np.maximum(saved - cut, 0).sum() / max(1, len(saved)) ** 0.5)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        x = np.array([self.features(t) for t in texts]).reshape(-1, 5)
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
+        """0.5 at the threshold for texts, above it beyond."""
+        found = np.array([self.distance(self.saved(t)) for t in texts])
+        return 1 / (1 + np.exp(-np.clip((found - self.text_cut) / self.spread, -30, 30)))
 
 
 def _novel(texts: list[str]) -> list[list[str]]:
@@ -88,74 +99,84 @@ def _novel(texts: list[str]) -> list[list[str]]:
     return out
 
 
-def _trained(size: int, samples: list[bytes]) -> bytes:
+def mined(texts: list[list[str]], ordinary: bytes) -> list[bytes]:
+    """Windows of toxic texts that a dictionary of other toxic texts' windows compresses better than the ordinary one.
+
+    Each of ``_MINED`` says: words of a window, bytes to save, rounds, parts that the texts are
+    dealt into, and of how many other parts the dictionary is made.
+    """
+    out: list[bytes] = []
+    plain = _compressor(ordinary)
+    for n, least, rounds, parts, others in _MINED:
+        held = [(i, x) for i, t in enumerate(texts) for x in windows(t, n)]
+        length = {x: len(plain(x)) for x in {x for _, x in held}}
+        for r in range(rounds):
+            part = np.random.default_rng(r).permutation(len(texts)) % parts
+            sides = [_compressor(ordinary + b"".join(x for i, x in held if 0 < (part[i] - p) % parts <= others)) for p in range(parts)]
+            held = [(i, x) for i, x in held if length[x] - len(sides[part[i]](x)) >= least]
+        out += [x for _, x in held]
+    return out
+
+
+def _trained(samples: list[bytes]) -> bytes:
     """A trained dictionary; of too few samples to train on, the samples themselves."""
     try:
-        return zstandard.train_dictionary(size, samples, k=50, d=8, level=_LEVEL).as_bytes()
+        return zstandard.train_dictionary(_TOXIC_BYTES, samples, k=16, d=6).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
-
-
-def dictionaries(toxic: list[str], ordinary: list[str], least: int = 3, contrast: float = 20.0) -> Model:
-    """``least`` and ``contrast``: toxic texts that a word must recur in, and how much oftener than in ordinary ones."""
-    bad, plain = _novel(toxic), _novel(ordinary)
-    in_bad, in_plain = (Counter(w for text in texts for w in set(text)) for texts in (bad, plain))
-    marks = {
-        w for w, n in in_bad.items()
-        if n >= least and n * max(1, len(plain)) >= contrast * (in_plain[w] + 0.5) * len(bad)
-    }
-    samples = [(" " + " ".join(w for w in text if w in marks) + " ").encode() for text in bad]
-    samples = [s for s in samples if len(s) > 8]
-    size = int(min(65_536, max(1_024, 2 * sum(len(w.encode()) + 1 for w in marks))))
-    return Model(_trained(_ORDINARY_BYTES, [(" " + " ".join(t) + " ").encode() for t in plain]) if plain else b" ", _trained(size, samples) if samples else b" ")
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Weighted ridge logistic regression by Newton steps; 0.5 is then moved to the best F1 on the same rows."""
-    w = np.zeros(x.shape[1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (weight * (y - p)) - 0.5 * w
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(x.shape[1])
-        w = w + np.linalg.solve(hess, grad)
-    z = x @ w
-    order = np.argsort(-z, kind="stable")
-    hit, miss = np.cumsum((weight * y)[order]), np.cumsum((weight * (1 - y))[order])
-    f1 = 2 * hit / np.maximum(hit + miss + (weight * y).sum(), 1e-9)
-    best = int(f1.argmax())
-    cut = z[order[best]] if best + 1 == len(z) else (z[order[best]] + z[order[best + 1]]) / 2
-    w[0] -= cut
-    return w
+        return b"".join(samples)[-_TOXIC_BYTES:]
+
+
+def dictionaries(toxic: list[str], ordinary: list[str], background: int = 4 << 20) -> Model:
+    """``background``: bytes of ordinary text at most."""
+    plain = b"".join(b"".join(windows(t, 1 << 30)) for t in _novel(ordinary))[-background:] or b" "
+    return Model(plain, _trained(mined(_novel(toxic), plain)) or b" ")
+
+
+def calibrate(model: Model, texts: list[str | None], toxic: np.ndarray, weight: np.ndarray) -> Model:
+    """Set the two thresholds to those of the best (weighted) F1 on labelled texts."""
+    saved = [model.saved(t) for t in texts]
+    best = (-1.0,)
+    for cut in (0, 1, 2, 3):
+        found = np.array([model.distance(s, cut) for s in saved])
+        order = np.argsort(-found, kind="stable")
+        hit, miss = np.cumsum((weight * toxic)[order]), np.cumsum((weight * (1 - toxic))[order])
+        last = np.append(np.flatnonzero(np.diff(found[order])), len(found) - 1)  # texts of one distance go together
+        f1 = (2 * hit / np.maximum(hit + miss + (weight * toxic).sum(), 1e-9))[last]
+        at = int(f1.argmax())
+        low = found[order[min(last[at] + 1, len(found) - 1)]]
+        best = max(best, (float(f1[at]), -cut, max((found[order[last[at]]] + low) / 2, 1e-6), max(float(found[toxic == 0].std()), 1e-3)))
+    _, cut, model.text_cut, model.spread = best
+    model.window_cut = -cut
+    return model
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, learn: Column, *, text: str = "text", toxic_texts: int = 2_500, ordinary_texts: int = 4_000
+    docs: DataFrame, labels: DataFrame, learn: Column, *, text: str = "text", toxic_texts: int = 2_500, ordinary_texts: int = 4_000,
+    sample_bytes: int = 64 << 20,
 ) -> Model | None:
     """Fit on about so many labelled texts of each kind among the labels where ``learn`` (of doc_id) holds.
 
-    The sample is drawn from the labels by a hash of the id, evenly over all of them; its size is
-    bounded by the parameters. Two thirds of it train the dictionaries, the rest calibrates. None
-    where a kind is missing.
+    The sample is drawn by a hash of the id, evenly over all labelled texts; the parameters bound
+    its rows and, for each kind, its bytes. Two thirds of it make the dictionaries, the rest
+    calibrates. None where a kind is missing.
     """
-    known = labels.where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.withColumn("toxic", (F.col("toxic") > 0).cast("int")).withColumn("draw", F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(_HASHES)))
-    totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    known = labels.where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
+    known = known.select("_id", (F.col("_toxic") > 0).cast("int").alias("_toxic"), F.pmod(F.xxhash64("_id", F.lit("toxic")), F.lit(_HASHES)).alias("_draw"))
+    found = docs.select(F.col("doc_id").alias("_doc"), F.col(text).alias("_text")).join(known, F.col("_doc") == F.col("_id"))
+    totals = {r["_toxic"]: (r["n"], r["size"]) for r in found.groupBy("_toxic").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)).alias("size")).collect()}
     if set(totals) != {0, 1}:
         return None
-    below = [int(_HASHES * min(1.0, most / totals[k])) for k, most in ((0, ordinary_texts), (1, toxic_texts))]
-    drawn = known.where(F.col("draw") < F.when(F.col("toxic") == 1, below[1]).otherwise(below[0])).select(F.col("doc_id").alias("_id"), "toxic")
-    rows = docs.select("doc_id", text).join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("doc_id", "toxic", F.col(text).alias("text")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    below = [int(_HASHES * min(1.0, most / totals[k][0], sample_bytes / max(1, totals[k][1]))) for k, most in ((0, ordinary_texts), (1, toxic_texts))]
+    rows = found.where(F.col("_draw") < F.when(F.col("_toxic") == 1, below[1]).otherwise(below[0])).select("_doc", "_toxic", "_text").collect()
+    rows = sorted(((r["_doc"], r["_text"] or "", r["_toxic"]) for r in rows))
     random.Random(5).shuffle(rows)
-    held = [r for i, r in enumerate(rows) if i % 3 == 0]
+    held = rows[::3]
     used = [r for i, r in enumerate(rows) if i % 3]
-    model = dictionaries([r["text"] or "" for r in used if r["toxic"]], [r["text"] or "" for r in used if not r["toxic"]])
-    x = np.array([model.features(r["text"]) for r in held]).reshape(-1, 5)
-    y = np.array([float(r["toxic"]) for r in held])
+    y = np.array([float(r[2]) for r in held])
     if len(set(y)) < 2:
         return None
-    model.weights = _logistic(x, y, np.where(y == 1, totals[1] / y.sum(), totals[0] / (1 - y).sum()))
-    return model
+    model = dictionaries([r[1] for r in used if r[2]], [r[1] for r in used if not r[2]])
+    return calibrate(model, [r[1] for r in held], y, np.where(y == 1, totals[1][0] / y.sum(), totals[0][0] / (1 - y).sum()))
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, *, text: str = "text") -> DataFrame:
@@ -164,7 +185,7 @@ def score_toxicity(docs: DataFrame, model: Model | None, *, text: str = "text")
     Null texts count as empty; empty texts have no windows and get the score of saving nothing.
     Where nothing was learned all scores are 0. Columns, repeated rows and row count stay.
     """
-    held = ship(docs.sparkSession).sparkContext.broadcast(model)  # two dictionaries of 180 KB at most
+    held = ship(docs.sparkSession).sparkContext.broadcast(model)  # 4 MB of background and the toxic dictionary at most
     names = [n for n in docs.columns if n not in ("score", "predicted")]
 
     def scored(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

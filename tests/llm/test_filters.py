@@ -158,6 +158,33 @@ def test_toxic_texts_score_higher(spark):
     assert held.agg(F.avg((F.col("toxic") == F.col("predicted")).cast("int"))).first()[0] >= 0.95
 
 
+def test_scores_are_differences_of_two_compressed_lengths():
+    r = random.Random(2)
+    plain = [" ".join(r.choices(["house", "tree", "river", "stone", "cloud", "road"], k=60)) for _ in range(40)]
+    bad = [t.replace("stone", "gruntwurzel").replace("road", "vilefangs") for t in plain[:20]]
+    model = toxicity.dictionaries(bad, plain[20:])
+    for text in (bad[0], plain[3], "unknown words only", "", None):
+        w = toxicity.words(text)
+        want = []
+        for i in range(0, len(w), 5):  # each window under each dictionary, one by one
+            x = (" " + " ".join(w[i : i + 5]) + " ").encode()
+            lengths = [len(toxicity._compressor(d)(x)) for d in (model.ordinary, model.ordinary + model.toxic)]
+            want.append(lengths[0] - lengths[1])
+        assert model.saved(text).tolist() == want
+        assert model.distance(model.saved(text), 1) == pytest.approx(sum(max(0, x - 1) for x in want) / max(1, len(want)) ** 0.5)
+    scores = model.score([bad[0], plain[3], ""])
+    assert scores[0] > scores[1] and scores[2] <= scores[1]
+
+
+def test_thresholds_are_those_of_the_best_f1():
+    class Fixed(toxicity.Model):
+        def saved(self, text):
+            return np.array([int(x) for x in text])
+
+    model = toxicity.calibrate(Fixed(b"", b""), ["9", "7", "3", "2", "1", "0"], np.array([1.0, 1, 0, 1, 0, 0]), np.ones(6))
+    assert (model.score(["9", "7", "3", "2"]) >= 0.5).tolist() == [True, True, True, True] and (model.score(["1", "0"]) < 0.5).all()
+
+
 def test_toxicity_of_odd_documents(spark, odd, empty):
     labels = spark.createDataFrame([(1, 0), (4, 1), (None, 1), (8, None)], "doc_id long, toxic int")
     for model in (None, toxicity.fit(odd, labels, F.lit(True))):
