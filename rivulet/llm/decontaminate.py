@@ -4,6 +4,11 @@ The test items are the indexed documents, every training passage is a query. An
 retrieved where its score reaches a share of the score that its own text gets; scores and bounds
 are divided by that item's threshold, so that one bound (1.0) holds for all items. Retrieved
 items are verified: enough of the question and of the answer must stand in the passage.
+
+Passages are searched in batches. WAND's pivot test - can the maxima of the terms at hand reach the
+bound? - is made for all blocks of items that a passage's terms occur in; postings are read only in
+blocks that pass, and an item is scored in full only where its own postings do. The terms that are
+tested are each item's heaviest ones: what its other terms can add is taken off its threshold first.
 """
 
 from __future__ import annotations
@@ -16,37 +21,35 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm._scratch import ship
+from rivulet.llm._scratch import save, ship
 from rivulet.llm._tables import table
 from rivulet.llm._text import batches, shingles, word_hashes
 
 K1, B = 1.2, 0.75
-_BLOCK = 32  # postings under one block maximum
+_SPAN = 32  # items in one block
 _BLOCK_WORDS = 1_000_000  # words of test items in one broadcast index
 _OVERLAP_WORDS = 3
-_LIGHT = 0.3  # of an item's threshold
+_LIGHT = 0.3  # of an item's threshold: what its light terms weigh together at most
+_ENTRIES = 1 << 18  # (passage, block) entries at a time
 
 
 @dataclass
 class Index:
-    """Inverted index of a bounded block of items; weights are shares of the item's threshold."""
+    """Inverted index of a bounded number of items; weights are shares of the item's threshold."""
 
     items: list
     vocabulary: np.ndarray  # sorted word hashes
-    begin: np.ndarray  # of each term's postings
-    item: np.ndarray
+    term_begin: np.ndarray  # of each item's terms, heaviest or not
+    term: np.ndarray
     weight: np.ndarray
-    term_max: np.ndarray
-    block_begin: np.ndarray  # of each term's blocks
-    block_last: np.ndarray  # last item of a block
+    block_of_term: np.ndarray  # of each term's blocks
+    block: np.ndarray  # number of the block: which items it holds
     block_max: np.ndarray
+    posting_of_block: np.ndarray  # of each block's postings
+    posting_item: np.ndarray
+    posting_weight: np.ndarray  # as a share of what the item's heaviest terms have to reach
     window: int
-    question: list  # shingle hashes
-    answer: list
-    key_begin: np.ndarray  # of each term's key postings: items that need some of it
-    key_item: np.ndarray
-    key_weight: np.ndarray
-    key_least: np.ndarray  # what an item's key terms must score in a passage that reaches its threshold
+    runs: list  # of each item: its (words of a run, hashes of the question's runs, of the answer's runs)
     share: float
     overlap: float
 
@@ -78,33 +81,41 @@ def halves(text: Column) -> tuple[Column, Column]:
     return F.array_join(F.slice(words, F.lit(1), n), " "), F.array_join(F.slice(words, n + 1, F.size(words)), " ")
 
 
-def indexes(items: DataFrame, share: float, overlap: float) -> list[Index]:
-    """One index per block of about ``_BLOCK_WORDS`` words; document frequencies are those of all items."""
+def indexes(items: DataFrame, share: float, overlap: float) -> Iterator[Index]:
+    """One index after the other, each of about ``_BLOCK_WORDS`` words; document frequencies are those of all items."""
     ship(items.sparkSession)
     # an item is its id and text: rows without an id, or with one id and several texts, are items of their own
     items = items.select(F.col("item").alias("id"), "question", "answer").distinct()
     items = items.withColumn("item", F.xxhash64("id", F.col("id").isNull(), F.coalesce("question", F.lit("")), F.lit(0), F.coalesce("answer", F.lit(""))))
-    terms = item_terms(items).cache()
+    terms = save(item_terms(items), "item-terms")
     totals = terms.groupBy("item").agg(F.first("n_words").alias("n_words")).agg(
         F.count("*").alias("n"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words")
     ).first()
     if not totals["n"]:
-        return []
+        return
     n_blocks = -(-totals["words"] // _BLOCK_WORDS)
     df = terms.groupBy("term").agg(F.countDistinct("item").alias("df"))
     rows = (
         terms.join(df, "term")
         .groupBy("item").agg(F.first("n_words").alias("n_words"), F.collect_list(F.struct("term", "tf", "df")).alias("terms"))
         .join(items.groupBy("item").agg(F.first("id").alias("id"), F.first("question").alias("question"), F.first("answer").alias("answer")), "item")
-        .withColumn("block", F.pmod(F.xxhash64(F.coalesce("id", "item")), F.lit(n_blocks)))
+        .withColumn("block", F.pmod(F.xxhash64("item"), F.lit(n_blocks)))
     )
-    out = []
+    rows = save(rows, "item-rows") if n_blocks > 1 else rows
     for block in range(n_blocks):  # each collects a bounded number of words
-        part = rows if n_blocks == 1 else rows.where(F.col("block") == block)
-        if found := part.collect():
-            out.append(build_index(found, totals["n"], totals["words"] / totals["n"], share, overlap))
-    terms.unpersist()
-    return out
+        if found := rows.where(F.col("block") == block).collect():
+            yield build_index(found, totals["n"], totals["words"] / totals["n"], share, overlap)
+
+
+def _runs(question: str | None, answer: str | None) -> tuple[int, np.ndarray, np.ndarray]:
+    """Runs of words of both parts. An item with fewer words than two runs is one run of all its words."""
+    words, first = word_hashes([question, answer])
+    if len(words) < 2 * _OVERLAP_WORDS:
+        whole = shingles(words, np.array([0, len(words)]), max(1, len(words)))[0]
+        return len(words), whole, whole
+    n = max(1, min(_OVERLAP_WORDS, *(k for k in np.diff(first).tolist() if k)))
+    found, at = shingles(words, first, n)
+    return n, np.unique(found[: at[1]]), np.unique(found[at[1] :])
 
 
 def build_index(rows: list, n_items: int, mean_words: float, share: float, overlap: float) -> Index:
@@ -113,110 +124,64 @@ def build_index(rows: list, n_items: int, mean_words: float, share: float, overl
         long = K1 * (1 - B + B * r["n_words"] / mean_words)
         w = {t["term"]: np.log(1 + (n_items - t["df"] + 0.5) / (t["df"] + 0.5)) * t["tf"] * (K1 + 1) / (t["tf"] + long) for t in r["terms"]}
         weights.append((share * sum(w.values()), w, r))
-    weights.sort(key=lambda x: (x[0], x[2]["item"]))  # like thresholds stand together: tighter block maxima
-    term = np.array([t for _, w, _ in weights for t in w], dtype=np.int64).view(np.uint64)
-    item = np.repeat(np.arange(len(weights)), [len(w) for _, w, _ in weights])
+    weights.sort(key=lambda x: (min(x[1], key=lambda t: (-x[1][t], t)), x[2]["item"]))  # items with one heaviest term stand together: fewer blocks
+    count = np.array([len(w) for _, w, _ in weights])
+    item = np.repeat(np.arange(len(weights)), count)
+    vocabulary, term = np.unique(np.array([t for _, w, _ in weights for t in w], dtype=np.int64).view(np.uint64), return_inverse=True)
     value = np.array([v / least for least, w, _ in weights for v in w.values()])
-    order = np.lexsort((item, term))
-    term, item, value = term[order], item[order], value[order]
-    vocabulary, begin = np.unique(term, return_index=True)
-    begin = np.append(begin, len(term))
-    block_begin, last, top = [0], [], []
-    for a, b in zip(begin[:-1], begin[1:], strict=True):
-        for x in range(a, b, _BLOCK):
-            y = min(b, x + _BLOCK)
-            last.append(item[y - 1])
-            top.append(value[x:y].max())
-        block_begin.append(len(last))
-    parts = []
-    for name in ("question", "answer"):
-        words, first = word_hashes([r[name] for _, _, r in weights])
-        sh, at = shingles(words, first, _OVERLAP_WORDS)
-        parts.append([np.unique(sh[at[i] : at[i + 1]]) for i in range(len(weights))])
-    longest = max(r["n_words"] for _, _, r in weights)
-    return Index(
-        [r["id"] for _, _, r in weights], vocabulary, begin, item, value, np.maximum.reduceat(value, begin[:-1]),
-        np.array(block_begin), np.array(last), np.array(top), 2 * longest, *parts, *_key_terms(term, vocabulary, item, value, len(weights)), share, overlap,
-    )
-
 
-def _key_terms(term: np.ndarray, vocabulary: np.ndarray, item: np.ndarray, value: np.ndarray, n_items: int) -> tuple[np.ndarray, ...]:
-    """Postings of each item's heaviest terms, such that all its others together stay below ``_LIGHT``.
-
-    A passage that reaches the threshold of 1 has at least 1 less that rest from key terms.
-    """
     order = np.lexsort((value, item))  # lightest first
     upto = np.cumsum(value[order])
-    first = np.searchsorted(item[order], np.arange(n_items))
-    upto -= np.repeat(np.append(0.0, upto)[first], np.diff(np.append(first, len(item))))
+    upto -= np.repeat(np.append(0.0, upto)[np.cumsum(count) - count], count)
     light = np.empty(len(item), dtype=bool)
     light[order] = upto < _LIGHT
-    rest = np.zeros(n_items)
-    np.add.at(rest, item[light], value[light])
-    key = np.flatnonzero(~light)
-    begin = np.searchsorted(np.searchsorted(vocabulary, term[key]), np.arange(len(vocabulary) + 1))
-    return begin, item[key], value[key], 1.0 - rest - 1e-9
-
-
-def block_max_wand(index: Index, terms: np.ndarray, bound: float = 1.0) -> list[tuple[int, float]]:
-    """All items whose score for the distinct ``terms`` reaches ``bound``, with their scores."""
-    found, tops = [], index.term_max
-    heads = [[int(index.item[index.begin[t]]), int(index.begin[t]), int(index.begin[t + 1]), int(t), int(index.block_begin[t])] for t in terms]
-    while heads:
-        heads.sort()
-        held, pivot = 0.0, -1
-        for i, h in enumerate(heads):  # the first item that all terms up to here could lift over the bound
-            held += tops[h[3]]
-            if held >= bound:
-                pivot = i
-                break
-        if pivot < 0:
-            return found
-        at = heads[pivot][0]
-        while pivot + 1 < len(heads) and heads[pivot + 1][0] == at:
-            pivot += 1
-        held, skip = 0.0, 1 << 60
-        for h in heads[: pivot + 1]:  # the same with the maxima of the blocks that would hold it
-            while index.block_last[h[4]] < at and h[4] + 1 < index.block_begin[h[3] + 1]:
-                h[4] += 1
-            if index.block_last[h[4]] >= at:
-                held += index.block_max[h[4]]
-                skip = min(skip, int(index.block_last[h[4]]) + 1)
-        if held < bound:  # no item before the end of these blocks
-            goal = max(at + 1, min(skip, heads[pivot + 1][0] if pivot + 1 < len(heads) else 1 << 60))
-            if goal >= 1 << 60:
-                goal = at + 1
-            move = heads[: pivot + 1]
-        elif heads[0][0] == at:
-            score = float(sum(index.weight[h[1]] for h in heads[: pivot + 1]))
-            if score >= bound:
-                found.append((at, score))
-            goal, move = at + 1, heads[: pivot + 1]
-        else:
-            goal, move = at, [h for h in heads[:pivot] if h[0] < at]
-        for h in move:
-            h[1] += int(np.searchsorted(index.item[h[1] : h[2]], goal))
-            h[0] = int(index.item[h[1]]) if h[1] < h[2] else -1
-        heads = [h for h in heads if h[1] < h[2]]
-    return found
+    rest = np.bincount(item[light], weights=value[light], minlength=len(weights))
+    key = np.flatnonzero(~light)  # a passage that reaches the threshold of 1 has 1 less that rest from these
+    key = key[np.lexsort((item[key], term[key]))]
+    key_term, key_item, key_weight = term[key], item[key], value[key] / (1.0 - rest[item[key]] - 1e-9)
+    block = key_item // _SPAN
+    new = np.flatnonzero(np.append(True, (key_term[1:] != key_term[:-1]) | (block[1:] != block[:-1])))
+    longest = max(r["n_words"] for _, _, r in weights)
+    return Index(
+        [r["id"] for _, _, r in weights], vocabulary, np.append(0, np.cumsum(count)), term, value,
+        np.searchsorted(key_term[new], np.arange(len(vocabulary) + 1)), block[new], np.maximum.reduceat(key_weight, new), np.append(new, len(key)), key_item, key_weight,
+        2 * longest, [_runs(r["question"], r["answer"]) for _, _, r in weights], share, overlap,
+    )
 
 
-def _promising(
-    index: Index, term: np.ndarray, known: np.ndarray, first: np.ndarray, first_window: np.ndarray, windows: np.ndarray, step: int
-) -> np.ndarray:
-    """Windows in which some item's key terms score enough: the bound of WAND, with each item as a block."""
-    at = np.flatnonzero(known & (index.key_begin[term + 1] > index.key_begin[term]))
-    text = np.searchsorted(first, at, side="right") - 1
-    place = (at - first[text]) // step
-    window = np.concatenate([np.minimum(place, windows[text] - 1), np.maximum(place - 1, 0)]) + np.tile(first_window[text], 2)
-    pair = np.unique(window * len(index.vocabulary) + np.tile(term[at], 2))  # a word counts once in a window
-    window, t = np.divmod(pair, len(index.vocabulary))
-    count = index.key_begin[t + 1] - index.key_begin[t]
-    posting = np.repeat(index.key_begin[t] - np.cumsum(count) + count, count) + np.arange(count.sum())
-    pair = np.repeat(window, count) * len(index.items) + index.key_item[posting]
-    pair, where = np.unique(pair, return_inverse=True)
-    score = np.bincount(where, weights=index.key_weight[posting], minlength=len(pair))
-    return np.unique(pair[score >= index.key_least[pair % len(index.items)]] // len(index.items))
+def _spread(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of the ranges, and which range each is of."""
+    count = end - begin
+    return np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum()), np.repeat(np.arange(len(count)), count)
+
+
+def block_max_wand(index: Index, query: np.ndarray, term: np.ndarray) -> list[tuple[int, int, float]]:
+    """(query, item, score) of all items that reach their thresholds; ``query`` and ``term``: distinct pairs, sorted."""
+    found, n_blocks, n_items = [], int(index.block.max()) + 1, len(index.items)
+    entries = index.block_of_term[term + 1] - index.block_of_term[term]
+    last = np.flatnonzero(np.append(query[1:] != query[:-1], True)) if len(query) else np.zeros(0, dtype=np.int64)
+    upto = np.cumsum(entries)
+    low = 0
+    while low < len(query):  # so many whole queries that their entries stay bounded
+        full = last[upto[last] <= (upto[low - 1] if low else 0) + _ENTRIES]
+        high = int(full[-1]) + 1 if len(full) and full[-1] >= low else int(last[np.searchsorted(last, low)]) + 1
+        entry, of = _spread(index.block_of_term[term[low:high]], index.block_of_term[term[low:high] + 1])
+        q = query[low:high][of]
+        pair, where = np.unique(q * n_blocks + index.block[entry], return_inverse=True)
+        bound = np.bincount(where, weights=index.block_max[entry], minlength=len(pair))
+        live = bound[where] >= 1.0  # the pivot test: no item of the others can reach its threshold
+        posting, of = _spread(index.posting_of_block[entry[live]], index.posting_of_block[entry[live] + 1])
+        pair, where = np.unique(q[live][of] * n_items + index.posting_item[posting], return_inverse=True)
+        score = np.bincount(where, weights=index.posting_weight[posting], minlength=len(pair))
+        for x in pair[score >= 1.0].tolist():
+            k, item = divmod(x, n_items)
+            terms = term[np.searchsorted(query, k) : np.searchsorted(query, k, side="right")]
+            own = slice(index.term_begin[item], index.term_begin[item + 1])
+            total = float(index.weight[own][np.isin(index.term[own], terms)].sum())
+            if total >= 1.0:
+                found.append((k, item, total))
+        low = high
+    return found
 
 
 def leaks(index: Index, texts: list[str | None]) -> dict[int, list[tuple]]:
@@ -227,29 +192,30 @@ def leaks(index: Index, texts: list[str | None]) -> dict[int, list[tuple]]:
         return out
     term = np.searchsorted(index.vocabulary, words)
     term[term == len(index.vocabulary)] = 0
-    known = index.vocabulary[term] == words
+    known = np.flatnonzero(index.vocabulary[term] == words)
     step = index.window // 2
     count = np.diff(first)
     windows = np.maximum(1, -(-count // step) - 1)
+    first_window = np.cumsum(windows) - windows
     which = np.repeat(np.arange(len(texts)), windows)
-    at = (np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)) * step + first[which]
+    at = (np.arange(len(which)) - first_window[which]) * step + first[which]
     end = np.minimum(at + index.window, first[which + 1])
-    for k in _promising(index, term, known, first, np.cumsum(windows) - windows, windows, step).tolist():
-        inside = slice(int(at[k]), int(end[k]))
-        terms = np.unique(term[inside][known[inside]])
-        if index.term_max[terms].sum() < 1.0:
-            continue
-        i = int(which[k])
-        passage = None
-        for item, score in block_max_wand(index, terms):
-            if passage is None:
-                passage = shingles(words[inside], np.array([0, inside.stop - inside.start]), _OVERLAP_WORDS)[0]
-            share = [np.isin(x[item], passage).mean() if len(x[item]) else 1.0 for x in (index.question, index.answer)]
-            if min(share) >= index.overlap:
-                best = [x for x in out.get(i, []) if x[0] != index.items[item]]
-                same = [x for x in out.get(i, []) if x[0] == index.items[item]]
-                new = (index.items[item], score * index.share, float(share[0]), float(share[1]), int(at[k] - first[i]))
-                out[i] = best + [max([*same, new], key=lambda x: (x[1], -x[4]))]
+    text = np.searchsorted(first, known, side="right") - 1
+    place = (known - first[text]) // step  # a word stands in the passage that begins there and in the one before
+    inside = np.concatenate([np.minimum(place, windows[text] - 1), np.maximum(np.minimum(place, windows[text]) - 1, 0)]) + np.tile(first_window[text], 2)
+    pair = np.unique(inside * len(index.vocabulary) + np.tile(term[known], 2))
+    runs: dict[tuple[int, int], np.ndarray] = {}
+    for k, item, score in block_max_wand(index, *np.divmod(pair, len(index.vocabulary))):
+        n, question, answer = index.runs[item]
+        if (k, n) not in runs:
+            runs[k, n] = shingles(words[at[k] : end[k]], np.array([0, end[k] - at[k]]), n)[0]
+        share = [float(np.isin(x, runs[k, n]).mean()) if len(x) else 1.0 for x in (question, answer)]
+        if min(share) >= index.overlap:
+            i = int(which[k])
+            best = [x for x in out.get(i, []) if x[0] != index.items[item]]
+            same = [x for x in out.get(i, []) if x[0] == index.items[item]]
+            new = (index.items[item], score * index.share, *share, int(at[k] - first[i]))
+            out[i] = best + [max([*same, new], key=lambda x: (x[1], -x[4]))]
     return out
 
 
@@ -260,7 +226,8 @@ def contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", t
     passage must reach; ``overlap``: of the three-word runs of question and answer, each, that
     must stand in the passage. Passages overlap by the longest item, so an item is never cut.
     An item is its id and text, so null ids and ids with several texts lose no passage; a document
-    has one row for an id, that of the highest score. Null and empty texts match nothing; repeated rows give repeated results; empty
+    has one row for an id, that of the highest score. An item of fewer than six words has to stand
+    word for word. Null and empty texts match nothing; repeated rows give repeated results; empty
     tables give none; further columns are ignored.
     """
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
@@ -288,7 +255,11 @@ def contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", t
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", share: float = 0.5, overlap: float = 0.5) -> DataFrame:
-    """The documents without those in which a test item is found; all columns stay, no join is needed."""
+    """The documents without those in which a test item is found; all columns stay, no join is needed.
+
+    Null and empty texts stay, so do all documents where there are no items. Repeated rows share
+    their fate; empty tables stay empty.
+    """
     at = docs.columns.index(text)
     for index in indexes(items, share, overlap):
         held = docs.sparkSession.sparkContext.broadcast(index)

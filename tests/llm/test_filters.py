@@ -65,19 +65,55 @@ def test_leaks_against_brute_force(spark, sf_dir):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
 
 
-def test_block_max_wand_finds_all_above_the_bound(spark):
+def test_block_max_wand_finds_all_above_the_bound(spark, monkeypatch):
+    """Against BM25 of every passage and every item, by the formula and without an index."""
+    monkeypatch.setattr(dc, "_ENTRIES", 50)  # many batches
     r = random.Random(4)
     vocabulary = [f"v{i}" for i in range(60)]
     rows = [(i, " ".join(r.choices(vocabulary, weights=range(1, 61), k=r.choice([5, 20, 40])))) for i in range(150)]
     (index,) = dc.indexes(_items(spark, rows), 0.4, 0.0)
-    for _ in range(40):
-        terms = np.sort(np.array(r.sample(range(len(index.vocabulary)), r.choice([1, 8, 30]))))
-        score = np.zeros(len(index.items))
-        for t in terms:
-            part = slice(index.begin[t], index.begin[t + 1])
-            score[index.item[part]] += index.weight[part]
-        want = {int(i): score[i] for i in np.flatnonzero(score >= 1.0)}
-        assert dict(dc.block_max_wand(index, terms)) == pytest.approx(want)
+    texts = {i: t.split() for i, t in rows}
+    df = {w: sum(w in t for t in texts.values()) for w in vocabulary}
+    mean = sum(map(len, texts.values())) / len(texts)
+
+    def bm25(i, passage):
+        t = texts[i]
+        long = dc.K1 * (1 - dc.B + dc.B * len(t) / mean)
+        return sum(np.log(1 + (150 - df[w] + 0.5) / (df[w] + 0.5)) * t.count(w) * (dc.K1 + 1) / (t.count(w) + long) for w in set(t) & set(passage))
+
+    hashes = {w: int(np.searchsorted(index.vocabulary, dc.word_hashes([w])[0][0])) for w in vocabulary}
+    passages = [r.sample(vocabulary, r.choice([1, 8, 30])) for _ in range(60)]
+    pairs = sorted((q, hashes[w]) for q, p in enumerate(passages) for w in p)
+    found = dc.block_max_wand(index, *(np.array(x) for x in zip(*pairs)))
+    want = {(q, i): bm25(i, p) / (0.4 * bm25(i, texts[i])) for q, p in enumerate(passages) for i in texts}
+    want = {k: v for k, v in want.items() if v >= 1.0}
+    assert {(q, index.items[i]): score for q, i, score in found} == pytest.approx(want) and len(want) > 100
+
+
+@pytest.mark.parametrize("n", range(1, 9))
+def test_short_items_that_stand_word_for_word_are_found(spark, n):
+    words = "amber birch cedar delta ember fjord grove haven".split()[:n]
+    around = " ".join(f"w{i}" for i in range(40))
+    texts = [" ".join(words), f"{around} {' '.join(words)} {around}", f"{' '.join(words)} {around}", f"{around} {' '.join(words)}", around, f"{around} {' x '.join(words)} {around}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"] for r in dc.contaminated(docs, _items(spark, [(1, " ".join(words)), (2, "something else of more than six words here")])).collect()}
+    assert found == ({0, 1, 2, 3, 5} if n == 1 else {0, 1, 2, 3})
+
+
+def test_question_or_answer_alone_is_no_leak(spark):
+    question, answer = " ".join(f"q{i}" for i in range(12)), " ".join(f"a{i}" for i in range(12))
+    items = spark.createDataFrame([(1, question, answer)], "item long, question string, answer string")
+    docs = spark.createDataFrame([(1, f"x {question} y"), (2, f"x {answer} y"), (3, f"{question} so {answer}"), (4, f"{question} {answer}")], "doc_id long, text string")
+    assert {r["doc_id"] for r in dc.contaminated(docs, items).collect()} == {3, 4}
+
+
+def test_items_in_several_indexes(spark, monkeypatch):
+    monkeypatch.setattr(dc, "_BLOCK_WORDS", 30)
+    texts = [" ".join(f"{k}{i}" for i in range(12)) for k in "abcdefg"]
+    docs = spark.createDataFrame([(i, f"before {t} after") for i, t in enumerate(texts)] + [(9, "none of them")], "doc_id long, text string")
+    items = _items(spark, list(enumerate(texts)))
+    assert sorted((r["doc_id"], r["item_id"]) for r in dc.contaminated(docs, items).collect()) == [(i, i) for i in range(7)]
+    assert [r["doc_id"] for r in dc.drop_contaminated(docs, items).collect()] == [9]
 
 
 def test_decontamination_of_odd_documents(spark, odd, empty):
