@@ -2,9 +2,13 @@
 
 Paragraphs are lines; a section ends after a paragraph whose digest is divisible by four (so that
 an edit moves at most the sections around it); the leaves are up to five words of a sentence each.
-A fingerprint is ``root.shape.leaves``: the root digest, the number of leaves of each paragraph
-("," between paragraphs, "/" between sections), and the leaves' digests. All inner nodes follow
-from it: equal roots mean equal texts, and :func:`differences` descends differing branches only.
+A leaf's digest is that of its text, a paragraph's that of its leaves' digests, a section's that of
+its paragraphs', the root's that of the sections' (128 bits each, BLAKE2).
+
+A fingerprint is ``root.shape.leaves``: the root, the number of leaves of each paragraph ("," between
+paragraphs, "/" between sections), and the first 64 bits of each leaf's digest. Equal roots mean
+equal texts. Fingerprints are compared from the root down: equal branches are matched in order and
+not looked into, differing ones are descended, so that what is left are the edited leaves.
 """
 
 from __future__ import annotations
@@ -12,12 +16,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections import Counter
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +30,11 @@ from rivulet.llm._tables import table
 
 _PIECE = re.compile(r"(?:\S*[^\s.!?]\s+){0,4}\S*\s*")
 _LONGEST = 256
+_LEAF = 8  # bytes of a leaf's digest that a fingerprint keeps
+
+
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
 def _pieces(paragraph: str) -> list[str]:
@@ -40,78 +48,136 @@ def _pieces(paragraph: str) -> list[str]:
     return out
 
 
-def tree(text: str) -> tuple[str, list[list[int]], list[int]]:
-    """Root digest, leaves of each paragraph by section, and all leaf digests."""
-    sections: list[list[int]] = [[]]
-    leaves: list[int] = []
-    digest = xxhash.xxh3_64_intdigest
+@dataclass(slots=True)
+class Tree:
+    """``sections``: lists of paragraphs, which are the kept bytes of their leaves one behind the other."""
+
+    root: str
+    sections: list[list[bytes]]
+
+    @property
+    def leaves(self) -> int:
+        return sum(len(p) for s in self.sections for p in s) // _LEAF
+
+
+def tree(text: str) -> Tree:
+    sections: list[list[bytes]] = [[]]
     nodes: list[bytes] = []
     held: list[bytes] = []
     for paragraph in text.split("\n"):
-        own = [digest(x.encode()) for x in _pieces(paragraph)]
-        leaves += own
-        node = xxhash.xxh3_64_digest(np.array(own, dtype="<u8").tobytes() + b"p")
-        sections[-1].append(len(own))
+        own = [_digest(x.encode("utf-8", "surrogatepass")) for x in _pieces(paragraph)]
+        node = _digest(b"p" + b"".join(own))
+        sections[-1].append(b"".join([x[:_LEAF] for x in own]))
         held.append(node)
-        if node[7] & 3 == 0:
-            nodes.append(hashlib.blake2b(b"".join(held), digest_size=16).digest())
+        if node[-1] & 3 == 0:
+            nodes.append(_digest(b"s" + b"".join(held)))
             sections.append([])
             held = []
     if held:
-        nodes.append(hashlib.blake2b(b"".join(held), digest_size=16).digest())
+        nodes.append(_digest(b"s" + b"".join(held)))
     else:
         sections.pop()
-    return hashlib.blake2b(b"".join(nodes), digest_size=16).hexdigest(), sections, leaves
+    return Tree(_digest(b"r" + b"".join(nodes)).hex(), sections)
 
 
-def fingerprint_of(parts: tuple[str, list[list[int]], list[int]]) -> str:
-    root, sections, leaves = parts
-    shape = "/".join(",".join(map(str, s)) for s in sections)
-    kept = (np.array(leaves, dtype="<u8") & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
-    return f"{root}.{shape}.{base64.b64encode(kept).decode()}"
+def fingerprint_of(t: Tree) -> str:
+    shape = "/".join(",".join(str(len(p) // _LEAF) for p in s) for s in t.sections)
+    return f"{t.root}.{shape}.{base64.b64encode(b''.join(p for s in t.sections for p in s)).decode()}"
 
 
 def fingerprint(text: str | None) -> str:
     return fingerprint_of(tree(text or ""))
 
 
-def _read(print_: str) -> tuple[str, list[list[list[int]]]]:
+def read(print_: str) -> Tree:
+    """The tree of a fingerprint."""
     root, shape, data = print_.split(".")
-    leaves, at, out = np.frombuffer(base64.b64decode(data), dtype="<u4").tolist(), 0, []
+    leaves, at, out = base64.b64decode(data), 0, []
     for section in shape.split("/"):
         out.append([])
         for n in map(int, section.split(",")):
-            out[-1].append(leaves[at : at + n])
-            at += n
-    return root, out
-
-
-def _alike(a: Counter, b: Counter, n: int) -> float:
-    if not n:
+            out[-1].append(leaves[at : at + n * _LEAF])
+            at += n * _LEAF
+    return Tree(root, out)
+
+
+def _in_order(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
+    """Positions of equal items, rising in both: common beginning and end, and between them the longest
+    rising chain of the first with the first, the second with the second... of each item."""
+    low, high = 0, min(len(a), len(b))
+    while low < high and a[low] == b[low]:
+        low += 1
+    end = 0
+    while end < high - low and a[-1 - end] == b[-1 - end]:
+        end += 1
+    head = [(i, i) for i in range(low)]
+    tail = [(len(a) - end + k, len(b) - end + k) for k in range(end)]
+    places: dict = {}
+    for j in range(len(b) - end - 1, low - 1, -1):
+        places.setdefault(b[j], []).append(j)
+    pairs = [(i, places[a[i]].pop()) for i in range(low, len(a) - end) if places.get(a[i])]
+    tops: list[int] = []
+    chain: list[int] = []  # the pair that ends the best chain of each length
+    before: list[int] = []
+    for k, (_, j) in enumerate(pairs):
+        n = bisect_left(tops, j)
+        before.append(chain[n - 1] if n else -1)
+        tops[n : n + 1] = [j]
+        chain[n : n + 1] = [k]
+    k, middle = chain[-1] if chain else -1, []
+    while k >= 0:
+        middle.append(pairs[k])
+        k = before[k]
+    return head + middle[::-1] + tail
+
+
+def _gaps(a: Sequence, b: Sequence, pairs: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, int]]:
+    """What lies between matched items: ranges of a and of b."""
+    x = y = 0
+    for i, j in [*pairs, (len(a), len(b))]:
+        if i > x or j > y:
+            yield x, i, y, j
+        x, y = i + 1, j + 1
+
+
+def _compare(a: Tree, b: Tree, gone: list | None = None) -> int:
+    """Leaves in common; ``gone`` gets the (section, paragraph) of ``a`` that differing branches lead to."""
+    sections = [[b"".join([len(p).to_bytes(4, "big") + p for p in s]) for s in t.sections] for t in (a, b)]
+    same = _in_order(*sections)
+    common = sum(sum(map(len, a.sections[i])) for i, _ in same)
+    for x, x_end, y, y_end in _gaps(*sections, same):  # descend
+        one = [(i, k, p) for i in range(x, x_end) for k, p in enumerate(a.sections[i])]
+        two = [p for s in b.sections[y:y_end] for p in s]
+        own = [p for _, _, p in one]
+        same_here = _in_order(own, two)
+        common += sum(len(own[i]) for i, _ in same_here)
+        for u, u_end, v, v_end in _gaps(own, two, same_here):
+            if gone is not None:
+                gone += [one[i][:2] for i in range(u, u_end)]
+            left, right = ([p[k : k + _LEAF] for p in ps for k in range(0, len(p), _LEAF)] for ps in (own[u:u_end], two[v:v_end]))
+            common += _LEAF * len(_in_order(left, right))
+    return common // _LEAF
+
+
+def alike(a: Tree, b: Tree) -> float:
+    """Twice the leaves in common, in order, over all leaves of both; 1 for equal roots."""
+    if a.root == b.root:
         return 1.0
-    return 2.0 * sum(min(v, b[k]) for k, v in a.items() if k in b) / n
+    every = a.leaves + b.leaves
+    return 2.0 * _compare(a, b) / every if every else 1.0
 
 
 def likeness(one: str, other: str) -> float:
-    """Twice the leaves in common over all leaves of both; 1 for equal roots only where all leaves are."""
-    (root, a), (root_b, b) = _read(one), _read(other)
-    if root == root_b:
-        return 1.0
-    x, y = (Counter(leaf for s in t for p in s for leaf in p) for t in (a, b))
-    return _alike(x, y, sum(x.values()) + sum(y.values()))
+    """:func:`alike` of two fingerprints. Text that has moved counts as differing where it crosses other text."""
+    return alike(read(one), read(other))
 
 
 def differences(one: str, other: str) -> list[tuple[int, int]]:
-    """(section, paragraph) of ``one`` whose branch is not in ``other``: where the edits are.
-
-    Branches that ``other`` also has are not descended.
-    """
-    (root, a), (root_b, b) = _read(one), _read(other)
-    if root == root_b:
-        return []
-    sections = {repr(s) for s in b}
-    paragraphs = {repr(p) for s in b for p in s}
-    return [(i, k) for i, s in enumerate(a) if repr(s) not in sections for k, p in enumerate(s) if repr(p) not in paragraphs]
+    """(section, paragraph) of ``one`` that differing branches lead to: where the edits are."""
+    a, b, out = read(one), read(other), []
+    if a.root != b.root:
+        _compare(a, b, out)
+    return out
 
 
 def edited_text(text: str, following: str) -> str:
@@ -121,9 +187,9 @@ def edited_text(text: str, following: str) -> str:
 
 _SCHEMA = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-    "near_edited double, near_next double"
+    "near_edited double, near_next double, edited_section int, edited_paragraph int"
 )
-_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.int32()]
 _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
 
 
@@ -136,17 +202,16 @@ def _compared(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = text or ""
             if c != chunk:
                 chunk, following = c, None
-            parts = tree(text)
-            print_, count = fingerprint_of(parts), Counter(parts[2])
-            now = (text, parts[0], count, len(parts[2]))
+            now = (text, tree(text))
             if not lent:
                 nxt = following or now
                 edited = edited_text(text, nxt[0])
-                other = tree(edited)
+                other, gone = tree(edited), []
+                every = now[1].leaves + other.leaves
+                near = 1.0 if other.root == now[1].root or not every else 2.0 * _compare(now[1], other, gone) / every
                 row = (
-                    doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), print_, fingerprint_of(other),
-                    1.0 if other[0] == parts[0] else _alike(count, Counter(other[2]), len(parts[2]) + len(other[2])),
-                    1.0 if nxt[1] == parts[0] else _alike(count, nxt[2], len(parts[2]) + nxt[3]),
+                    doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), fingerprint_of(now[1]), fingerprint_of(other),
+                    near, alike(now[1], nxt[1]), *(gone[0] if gone else (None, None)),
                 )
                 out.append(row)
                 size += len(row[3]) + len(row[4]) + 200
@@ -163,7 +228,8 @@ def _batch(out: list[tuple]) -> pa.RecordBatch:
 
 
 def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fingerprints of every text and of its edited text, and their likeness.
+    """Fingerprints of every text and of its edited text, their likeness, and the first section and
+    paragraph of the text that the edit changed (null where it changed none).
 
     The next document is the one with the next smaller id (after the smallest: the largest); a
     document that stands alone is its own next. Null texts are empty; null ids count as smallest;

@@ -13,17 +13,84 @@ from pyspark.sql import functions as F
 from rivulet.llm import chat_format, fingerprint, html_extract
 
 
+def _leaves(text):
+    """(paragraph, its leaves) by the stated rules: lines, sentences' ends, five words, 256 characters."""
+    out = []
+    for line in text.split("\n"):
+        words, leaves = re.findall(r"\S*\s+|\S+", line), []
+        while words:
+            n = 0
+            while n < 5 and n < len(words):
+                n += 1
+                if words[n - 1].rstrip()[-1:] in (".", "!", "?", ""):
+                    break
+            leaf, words = "".join(words[:n]), words[n:]
+            leaves += [leaf[i : i + 256] for i in range(0, len(leaf), 256)]
+        out.append(leaves)
+    return out
+
+
+def _merkle(text):
+    """Sections of paragraphs of leaf digests, and the root, computed bottom up and by themselves."""
+    h = lambda *x: hashlib.blake2b(b"".join(x), digest_size=16).digest()
+    sections, tops, own, nodes = [], [], [], []
+    for leaves in _leaves(text):
+        own.append([h(x.encode()) for x in leaves])
+        nodes.append(h(b"p", *own[-1]))
+        if nodes[-1][-1] % 4 == 0:
+            sections.append(own)
+            tops.append(h(b"s", *nodes))
+            own, nodes = [], []
+    if own:
+        sections.append(own)
+        tops.append(h(b"s", *nodes))
+    return sections, h(b"r", *tops).hex()
+
+
 def test_fingerprints_against_plain_python(spark, sf_dir):
+    import base64
+
     rows = duck("SELECT doc_id, coalesce(text, '') FROM documents ORDER BY doc_id DESC", sf_dir)[1]
     got = {r["doc_id"]: r for r in fingerprint.op3_fingerprint(spark, sf_dir).collect()}
     for i, (doc, text) in enumerate(rows):
         following = rows[(i + 1) % len(rows)][1]
-        edited = fingerprint.edited_text(text, following)
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
         r = got[doc]
         assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        assert (r["fingerprint"], r["edited_fingerprint"]) == (fingerprint.fingerprint(text), fingerprint.fingerprint(edited))
-        assert r["near_edited"] == pytest.approx(fingerprint.likeness(r["fingerprint"], r["edited_fingerprint"]))
-        assert r["near_next"] == pytest.approx(fingerprint.likeness(r["fingerprint"], fingerprint.fingerprint(following)))
+        for name, t in (("fingerprint", text), ("edited_fingerprint", edited)):
+            sections, root = _merkle(t)
+            stored = base64.b64encode(b"".join(x[:8] for s in sections for p in s for x in p)).decode()
+            assert r[name] == f"{root}.{'/'.join(','.join(str(len(p)) for p in s) for s in sections)}.{stored}"
+        a, b, c = ([x for p in _leaves(t) for x in p] for t in (text, edited, following))
+        for near, other in ((r["near_edited"], b), (r["near_next"], c)):
+            want = 1.0 if a == other else 2 * _chain(a, other) / (len(a) + len(other))
+            assert near <= want + 1e-9 and near >= 0.9 * want - 1e-9  # trees match whole branches first
+        same = 0
+        while same < len(a) and a[same : same + 1] == b[same : same + 1]:
+            same += 1
+        if text == edited:
+            assert r["edited_section"] is None
+        else:
+            flat = [(s, k, len(p)) for s, ps in enumerate(_merkle(text)[0]) for k, p in enumerate(ps)]
+            before = sum(n for s, k, n in flat if (s, k) < (r["edited_section"], r["edited_paragraph"]))
+            assert before <= same  # nothing differs before the first edited paragraph
+
+
+def _chain(a, b):
+    """Length of a longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def test_moved_branches_differ_and_their_places_are_found():
+    lines = [f"This is line number {i} of a longer text." for i in range(60)]
+    a, b = fingerprint.fingerprint("\n".join(lines)), fingerprint.fingerprint("\n".join(lines[30:] + lines[:30]))
+    assert 0.4 < fingerprint.likeness(a, b) < 0.6 and fingerprint.differences(a, b)
 
 
 @settings(max_examples=80)
@@ -39,7 +106,7 @@ def test_differing_branches_locate_an_edit():
     a = fingerprint.fingerprint("\n".join(lines))
     b = fingerprint.fingerprint("\n".join([*lines[:17], "Something else.", *lines[18:]]))
     section, paragraph = fingerprint.differences(a, b)[0]
-    flat = [(i, k) for i, s in enumerate(fingerprint.tree("\n".join(lines))[1]) for k in range(len(s))]
+    flat = [(i, k) for i, s in enumerate(fingerprint.tree("\n".join(lines)).sections) for k in range(len(s))]
     assert flat.index((section, paragraph)) == 17 and len(fingerprint.differences(a, b)) == 1
 
 
