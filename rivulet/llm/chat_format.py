@@ -7,9 +7,12 @@ Grammar of a formatted conversation::
     body         := "[INST] " text " [/INST]"      when role is user
                   | text                            otherwise
 
+The control strings ``<s>``, ``</s>``, ``[INST]`` and ``[/INST]`` stand only where the grammar has
+them: what holds one inside a role or a text is no formatted conversation, and the parser gives null.
+
 Escapes inside roles and texts: ``\\e`` a backslash, ``\\l`` ``<``, ``\\o`` ``[``, ``\\w`` a line
 feed (roles only). Each conversation is rendered as it is, parsed again, and compared with its
-source; only where they differ it is rendered with escapes, which the same parser undoes.
+source. Where they differ it is rendered with escapes, which the same parser undoes, and compared again.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 from rivulet.llm._tables import table
 
 OPEN, CLOSE, INST, END_INST = "<s>", "</s>", "[INST] ", " [/INST]"
+_CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
 _ESCAPES = (("\\", "\\e"), ("<", "\\l"), ("[", "\\o"))
 
 
@@ -49,20 +53,34 @@ def render(turns: Column, *, escaped: bool) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """Array of (role, text) structs of a formatted conversation: the deterministic parser."""
+    """Array of (role, text) structs of a formatted conversation, null where it is none: the deterministic parser."""
     pieces = F.split(formatted, CLOSE, -1)
+    turns = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
 
-    def one(piece: Column) -> Column:
+    def parts(piece: Column) -> tuple[Column, Column, Column]:
         at = F.instr(piece, "\n")
         role = F.substr(piece, F.lit(len(OPEN) + 1), at - len(OPEN) - 1)
         body = F.substr(piece, at + 1)
-        inner = F.substr(body, F.lit(len(INST) + 1), F.length(body) - len(INST) - len(END_INST))
-        return F.struct(
-            unescape(role).alias("role"),
-            unescape(F.when(role == "user", inner).otherwise(body)).alias("text"),
-        )
+        return at, role, body
+
+    def inner(role: Column, body: Column) -> Column:
+        text = F.substr(body, F.lit(len(INST) + 1), F.length(body) - len(INST) - len(END_INST))
+        return F.when(role == "user", text).otherwise(body)
 
-    return F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), one)
+    def fits(piece: Column) -> Column:
+        at, role, body = parts(piece)
+        framed = F.startswith(body, F.lit(INST)) & F.endswith(body, F.lit(END_INST)) & (F.length(body) >= len(INST) + len(END_INST))
+        free = [~F.contains(x, F.lit(c)) for x in (role, inner(role, body)) for c in _CONTROLS]
+        ok = F.startswith(piece, F.lit(OPEN)) & (at > len(OPEN)) & ((role != "user") | framed)
+        for x in free:
+            ok = ok & x
+        return ok
+
+    def one(piece: Column) -> Column:
+        _, role, body = parts(piece)
+        return F.struct(unescape(role).alias("role"), unescape(inner(role, body)).alias("text"))
+
+    return F.when((F.element_at(pieces, -1) == "") & F.forall(turns, fits), F.transform(turns, one))
 
 
 def format_chats(
@@ -86,12 +104,10 @@ def format_chats(
         ).alias("turns")
     )
     rendered = grouped.withColumn("plain", render(F.col("turns"), escaped=False))
-    same = parse(F.col("plain")) == F.col("turns")
-    return rendered.select(
-        "conv_id",
-        F.when(same, F.col("plain")).otherwise(render(F.col("turns"), escaped=True)).alias("formatted"),
-        (~same).alias("escaped"),
-    )
+    same = F.coalesce(parse(F.col("plain")) == F.col("turns"), F.lit(False))
+    rendered = rendered.withColumn("escaped", ~same).withColumn("coded", F.when(F.col("escaped"), render(F.col("turns"), escaped=True)))
+    again = F.when(parse(F.col("coded")) == F.col("turns"), F.col("coded")).otherwise(F.raise_error(F.lit("an escaped conversation does not read back")))
+    return rendered.select("conv_id", F.when(F.col("escaped"), again).otherwise(F.col("plain")).alias("formatted"), "escaped")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -130,7 +146,7 @@ WITH t AS (
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), c AS (
-  SELECT *, contains(role || text, '</s>') OR contains(role, chr(10))
+  SELECT *, regexp_matches(role || chr(10) || text, '</?s>|\[/?INST\]') OR contains(role, chr(10))
       OR contains(role, '\e') OR contains(role, '\l') OR contains(role, '\o') OR contains(role, '\w')
       OR contains(text, '\e') OR contains(text, '\l') OR contains(text, '\o') OR contains(text, '\w') AS clash,
     8 + length(role) + length(text) + CASE WHEN role = 'user' THEN 15 ELSE 0 END AS plain_chars,
