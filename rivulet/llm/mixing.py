@@ -120,22 +120,31 @@ def mix(
         "extra", (before + F.col("size") / F.lit(2.0) <= F.col("rest")).cast("long")
     )
     others = joined.where(F.col("range") != F.col("end")).withColumn("extra", (F.col("range") < F.col("end")).cast("long"))
+    times = F.least(F.col("whole") + F.col("extra"), F.lit(max_epochs))  # texts without words fit any rest
     return others.unionByName(last).select(
-        "doc_id", "text_key", "source", "size", "source_size", "target",
-        (F.col("whole") + F.col("extra")).alias("epochs"),
-        (F.col("size") * (F.col("whole") + F.col("extra"))).alias("taken"),
+        "doc_id", "text_key", "source", "size", "source_size", "target", times.alias("epochs"), (F.col("size") * times).alias("taken")
     )
 
 
 def mixed_documents(docs: DataFrame, *, quality: DataFrame | None = None) -> DataFrame:
-    """The documents that the mix takes, with ``epochs``: how often. Repeated rows share the larger number."""
+    """The documents that the mix takes, with ``epochs``: how often.
+
+    Each of several rows with one id and text gets a number of its own, so that together they stay
+    within the budget; the rows are told apart by their other columns. Null texts and ids are
+    documents like others; an empty table stays empty.
+    """
     names = [n for n in docs.columns if n != "epochs"]
     taken = (
-        mix(docs, quality=quality).where("epochs > 0")
-        .groupBy(F.col("doc_id").alias("_rv_id"), F.col("text_key").alias("_rv_key")).agg(F.max("epochs").alias("epochs"))
+        mix(docs, quality=quality)
+        .groupBy(F.col("doc_id").alias("_rv_id"), F.col("text_key").alias("_rv_key"))
+        .agg(F.sort_array(F.collect_list("epochs"), asc=False).alias("_rv_epochs")).where(F.element_at("_rv_epochs", 1) > 0)
     )
     same = F.col("doc_id").eqNullSafe(F.col("_rv_id")) & (F.xxhash64("text") == F.col("_rv_key"))
-    return docs.select(*names).join(taken, same).select(*names, "epochs")
+    found = docs.select(*names).join(taken, same)
+    once = found.where(F.size("_rv_epochs") == 1).withColumn("epochs", F.element_at("_rv_epochs", 1))
+    order = Window.partitionBy("_rv_id", "_rv_key").orderBy(*names)
+    again = found.where(F.size("_rv_epochs") > 1).withColumn("epochs", F.get("_rv_epochs", F.row_number().over(order) - 1))
+    return once.unionByName(again).where("epochs > 0").select(*names, "epochs")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

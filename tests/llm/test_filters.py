@@ -22,6 +22,17 @@ def test_mix_of_odd_documents(spark, odd, empty):
     assert kept.columns == [c for c in odd.columns if c != "epochs"] + ["epochs"] and kept.where("epochs > 2").count() == 0
 
 
+def test_texts_without_words_and_repeated_rows_stay_within_the_budget(spark):
+    rows = [(i, None if i % 2 else "", "a") for i in range(20)] + [(100, "one two three", "a")] * 3 + [(i, "x " * 50, "b") for i in range(200, 240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(docs)
+    assert out.where("epochs > 2").count() == 0 and out.count() == len(rows)
+    kept = mixing.mixed_documents(docs)
+    words = lambda df: df.groupBy("source").agg(F.sum(mixing.n_words(F.col("text")) * F.col("epochs")).alias("n"))
+    want = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    assert {r["source"]: r["n"] for r in words(kept).collect()} == want
+
+
 def test_mix_reruns_agree(odd):
     a, b = (sorted(map(tuple, mixing.mix(odd).collect()), key=repr) for _ in range(2))
     assert a == b
