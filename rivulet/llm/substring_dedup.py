@@ -4,6 +4,7 @@
 2. Texts are cut into pieces where their own bytes say so. A piece that, with the bytes its last
    windows reach into, also stands in a document with a smaller id is removed as it is: all its
    windows start there, too. Only the smallest document of each such piece takes part from here on.
+   Pieces are told apart by 128 bits of a hash (12 bytes and the place); their bytes are not compared.
 3. Every window of ``length`` bytes has an anchor: the short substring in it with the smallest
    hash (the leftmost of equal ones). A window is known by the hash of its anchor and of the bytes
    on the anchor's longer side. Equal windows have equal anchors, so windows meet by that hash;
@@ -218,12 +219,11 @@ def _digests(blocks: DataFrame, length: int, places: int) -> DataFrame:
                 place = np.ascontiguousarray(found[:, _DIGEST:]).view(np.uint32).ravel() % np.uint32(places)
                 id_of = np.array([_NO_ID if x is None else x for x in ids], dtype=np.int64)[doc]
                 order = np.argsort(place, kind="stable")
-                cut = np.searchsorted(place[order], np.arange(places + 1))
-                full = [p for p in range(places) if cut[p + 1] > cut[p]]
-                parts = [order[cut[p] : cut[p + 1]] for p in full]
+                full, cut = np.unique(place[order], return_index=True)  # places that the block has something for
+                parts = np.split(order, cut[1:]) if len(order) else []
                 yield pa.record_batch(
                     [
-                        pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()),
+                        pa.array(full.tolist(), pa.int32()), pa.array([block] * len(full), pa.int64()),
                         pa.array([np.ascontiguousarray(found[o, :_DIGEST]).tobytes() for o in parts], pa.binary()),
                         pa.array([_packed(id_of[o]) for o in parts], pa.binary()), pa.array([_packed(o.astype(np.int32)) for o in parts], pa.binary()),
                     ],
@@ -279,13 +279,13 @@ def _hashes(blocks: DataFrame, length: int, places: int) -> DataFrame:
                 first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (place[1:] != place[:-1]))) if len(h) else np.zeros(0, dtype=np.int64)
                 more = doc[first] != doc[np.append(first[1:], len(h)) - 1] if len(h) else np.zeros(0, dtype=bool)
                 h, place = h[first], place[first]
-                cut = np.searchsorted(place, np.arange(places + 1))
-                full = [p for p in range(places) if cut[p + 1] > cut[p]]
+                full, cut = np.unique(place, return_index=True)
+                ranges = list(zip(cut.tolist(), [*cut[1:].tolist(), len(h)], strict=True)) if len(h) else []
                 yield pa.record_batch(
                     [
-                        pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()),
-                        pa.array([_packed(np.diff(h[cut[p] : cut[p + 1]], prepend=np.uint32(0))) for p in full], pa.binary()),  # steps between sorted hashes
-                        pa.array([np.packbits(more[cut[p] : cut[p + 1]]).tobytes() for p in full], pa.binary()),
+                        pa.array(full.tolist(), pa.int32()), pa.array([block] * len(full), pa.int64()),
+                        pa.array([_packed(np.diff(h[a:b], prepend=np.uint32(0))) for a, b in ranges], pa.binary()),  # steps between sorted hashes
+                        pa.array([np.packbits(more[a:b]).tobytes() for a, b in ranges], pa.binary()),
                     ],
                     ["place", "block", "hashes", "more"],
                 )
