@@ -13,6 +13,7 @@ from rivulet.functions.dates import (
     hour_of_day,
     interval,
     latest,
+    makedate,
     minute_of_hour,
     month_of_year,
     monthname,
@@ -47,7 +48,7 @@ __all__ = [
     "add", "adddate", "array_length", "cast", "cidrmatch", "date_add", "date_sub", "day_of_month", "day_of_week", "day_of_year",
     "dayname", "divide", "earliest", "hour_of_day", "interval", "ip_to_int", "is_ipv4", "isblank", "isempty", "ispresent", "json",
     "json_append", "json_array", "json_array_length", "json_delete", "json_extend", "json_extract", "json_keys", "json_object",
-    "json_set", "json_valid", "latest", "minute_of_hour", "modulus", "month_of_year", "monthname", "multiply",
+    "json_set", "json_valid", "latest", "makedate", "minute_of_hour", "modulus", "month_of_year", "monthname", "multiply",
     "relative_timestamp", "second_of_minute", "strcmp", "subdate", "subtract", "sysdate", "timestampadd", "timestampdiff",
     "to_json_string", "tostring", "truncate", "utc_timestamp", "week", "week_of_year", "xor",
 ]

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 import rivulet.functions as own
+from rivulet.functions._args import col, value
 
 # The names of the language's scalar functions, by kind.
 NAMES = {
@@ -18,7 +19,7 @@ NAMES = {
     "cryptography": "md5 sha1 sha2",
     "date and time": (
         "adddate date datediff date_add date_format date_sub day dayofmonth day_of_month dayofweek day_of_week dayofyear day_of_year extract "
-        "from_unixtime hour hour_of_day last_day make_date minute minute_of_hour month month_of_year monthname quarter second "
+        "from_unixtime hour hour_of_day last_day make_date makedate minute minute_of_hour month month_of_year monthname quarter second "
         "second_of_minute subdate timestamp timestampadd timestampdiff utc_timestamp current_timezone unix_timestamp week weekday "
         "weekofyear week_of_year year now curdate current_date localtime current_timestamp localtimestamp sysdate relative_timestamp "
         "earliest latest"
@@ -30,7 +31,7 @@ NAMES = {
     "ip": "cidrmatch is_ipv4 ip_to_int",
 }
 # Names under which Spark's API has a function of another name.
-_ELSEWHERE = {"date": "to_date", "timestamp": "to_timestamp", "localtime": "localtimestamp", "if": "when"}
+_ELSEWHERE = {"date": "to_date", "timestamp": "to_timestamp", "localtime": "localtimestamp"}
 
 
 def function(name: str) -> Callable:
@@ -42,6 +43,8 @@ def function(name: str) -> Callable:
         return getattr(own, name)
     if name == "mod":
         return own.modulus
+    if name == "if":
+        return lambda condition, yes, no: F.when(col(condition), value(yes)).otherwise(value(no))
     if name == "like":
         return lambda x, pattern: F.col(x).like(pattern) if isinstance(x, str) else x.like(pattern)
     return getattr(F, _ELSEWHERE.get(name, name))

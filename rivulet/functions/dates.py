@@ -135,3 +135,10 @@ def earliest(text: str, x: Column | str, now: Column | None = None) -> Column:
 
 def latest(text: str, x: Column | str, now: Column | None = None) -> Column:
     return relative_timestamp(text, now) >= col(x)
+
+
+def makedate(year: Column | str | int, day: Column | str | int) -> Column:
+    """The so-and-so-many-th day of a year, running on into the next ones; null for days below 1."""
+    n = value(day) if not isinstance(day, str) else col(day)
+    y = value(year) if not isinstance(year, str) else col(year)
+    return F.when(n >= 1, F.date_add(F.make_date(y, F.lit(1), F.lit(1)), (n - 1).cast("int")))

@@ -48,9 +48,10 @@ def modulus(a: object, b: object) -> Column:
 
 def truncate(x: Column | str, digits: int = 0) -> Column:
     """Cut towards zero after so many digits."""
-    scale = F.lit(float(10**digits))
-    scaled = col(x) * scale
-    return F.when(scaled >= 0, F.floor(scaled)).otherwise(F.ceil(scaled)) / scale
+    c = col(x).cast("double")
+    exact = F.when(F.abs(c) < 1e18, c).cast("decimal(38,18)")  # beyond, a double has no digits after the point
+    cut = F.when(exact >= 0, F.floor(exact, F.lit(digits))).otherwise(F.ceil(exact, F.lit(digits)))
+    return F.coalesce(cut.cast("double"), c)
 
 
 def strcmp(a: Column | str, b: Column | str) -> Column:

@@ -6,8 +6,10 @@ and lets Spark read those, together with all files that came after the build.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +37,7 @@ class Sketch:
     def aggregates(self) -> list[Column]:
         c, name = F.col(self.column), self.column
         if self.kind == "PARTITION":
-            return [F.first(c, ignorenulls=True).alias(f"{name}__value")]
+            return [F.min(c).alias(f"{name}__low"), F.max(c).alias(f"{name}__high")]  # one value, if the table is laid out by it
         if self.kind == "MIN_MAX":
             return [F.min(c).alias(f"{name}__min"), F.max(c).alias(f"{name}__max")]
         if self.kind == "VALUE_SET":
@@ -50,7 +52,7 @@ class Sketch:
         if any(v is None for v in values) or not values:
             return None
         if self.kind == "PARTITION" and op in ("=", "in"):
-            return F.col(f"{name}__value").isin(values)
+            return reduce(lambda a, b: a | b, [(F.col(f"{name}__low") <= F.lit(v)) & (F.col(f"{name}__high") >= F.lit(v)) for v in values])
         if self.kind == "VALUE_SET" and op in ("=", "in"):
             held = F.col(f"{name}__set")
             return held.isNull() | F.arrays_overlap(held, F.array(*map(F.lit, values)))
@@ -64,6 +66,20 @@ class Sketch:
         return None
 
 
+def _of_kind(value: object, kind: str) -> bool:
+    """Whether a filter compares the column with this value as they are: a value of another kind makes
+    Spark cast the column, and then other stored values may equal it."""
+    if isinstance(value, bool):
+        return kind == "boolean"
+    if isinstance(value, int):
+        return kind in ("tinyint", "smallint", "int", "bigint", "double")
+    if isinstance(value, str):
+        return kind == "string"
+    if isinstance(value, datetime.datetime):
+        return kind.startswith("timestamp")
+    return isinstance(value, float) and kind == "double" or isinstance(value, datetime.date) and kind == "date"
+
+
 def _bit(c: Column, i: int) -> Column:
     return F.pmod(F.xxhash64(c, F.lit(i)), F.lit(_BITS)).cast("bigint")
 
@@ -110,9 +126,8 @@ def matching_files(index: DataFrame, columns: Mapping[str, str | tuple[str, int]
             if s.kind == "BLOOM_FILTER" and op in ("=", "in"):
                 values = list(value) if op == "in" else [value]
                 keep = None
-                for v in values:
-                    one = _at(column, F.lit(v).cast(kinds[column]))
-                    keep = one if keep is None else keep | one
+                if values and all(_of_kind(v, kinds[column]) for v in values):
+                    keep = reduce(lambda a, b: a | b, [_at(column, F.lit(v).cast(kinds[column])) for v in values])
             else:
                 keep = s.may_hold(op, value)
             if keep is not None:
@@ -126,7 +141,8 @@ def read(
 ) -> DataFrame:
     """Rows of the parquet table at ``path`` that meet the conditions, from as few files as the index allows.
 
-    Files that the index does not know are read, too. Only the paths of files to read come to the
+    Columns that the table's folders hold keep their values. Files that the index does not know are
+    read, too; one that is written anew under its old path has to be indexed again. Only the paths of files to read come to the
     driver, where Spark plans a scan anyway.
     """
     table = spark.read.parquet(path)
@@ -135,7 +151,7 @@ def read(
     plain = lambda p: p.replace("file:///", "file:/")
     known, wanted = set(map(plain, known)), set(map(plain, wanted))
     files = [f for f in table.inputFiles() if plain(f) in wanted or plain(f) not in known]
-    out = spark.read.schema(table.schema).parquet(*files) if files else table.limit(0)
+    out = spark.read.schema(table.schema).option("basePath", path).parquet(*files) if files else table.limit(0)
     for column, op, value in conditions:
         c = F.col(column)
         out = out.where(c.isin(list(value)) if op == "in" else {"=": c == F.lit(value), "<": c < F.lit(value), "<=": c <= F.lit(value), ">": c > F.lit(value), ">=": c >= F.lit(value)}[op])

@@ -149,7 +149,8 @@ def take(column: str, n: int = 10, by: str | list[str] = (), alias: str | None =
 
     def step(df: DataFrame) -> DataFrame:
         order = Window.partitionBy(*map(field, groups)).orderBy(field(column))
-        few = df.where(field(column).isNotNull()).withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= n)
+        rank = fresh(df, "__rank")
+        few = df.where(field(column).isNotNull()).withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= n)
         values = F.array_sort(F.collect_list(field(column))).alias(alias or f"take({column}, {n})")
         out = few.groupBy(*groups).agg(values)
         return out.select(*out.columns[len(groups):], *groups)

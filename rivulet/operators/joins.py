@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.functions.ip import ip_to_int, is_ipv4
-from rivulet.operators._cols import Expr, Step, expr, field, quoted
+from rivulet.operators._cols import Expr, Step, expr, field, fresh, quoted
 
 #: Kinds of join by their names.
 KINDS = {
@@ -151,13 +151,14 @@ def geoip(name: str, ip: Expr, ranges: DataFrame, properties: Sequence[str] = ()
 
     def step(df: DataFrame) -> DataFrame:
         value = F.col(wanted[0].lower()) if len(properties) == 1 else F.struct(*[F.col(p.lower()).alias(p.lower()) for p in wanted])
-        side = ranges.select(F.col("ip_range_start").alias("__s"), F.col("ip_range_end").alias("__e"), F.col("ipv4").alias("__v4"), value.alias("__geo"))
-        side = side.withColumn("__cell", F.explode(F.sequence(cell(F.col("__s"), F.col("__v4")), cell(F.col("__e") - 1, F.col("__v4")))))
-        left = df.withColumn("__ip", ip_to_int(field(ip))).withColumn("__is4", is_ipv4(field(ip)))
-        left = left.withColumn("__mine", cell(F.col("__ip"), F.col("__is4")))
-        inside = (F.col("__ip") >= F.col("__s")) & (F.col("__ip") < F.col("__e"))
-        joined = left.join(side, (F.col("__is4") == F.col("__v4")) & (F.col("__mine") == F.col("__cell")) & inside, "left")
+        low, high, v4, geo, at, address, is4, mine = (fresh(df, n) for n in ("__s", "__e", "__v4", "__geo", "__cell", "__ip", "__is4", "__mine"))
+        side = ranges.select(F.col("ip_range_start").alias(low), F.col("ip_range_end").alias(high), F.col("ipv4").alias(v4), value.alias(geo))
+        side = side.withColumn(at, F.explode(F.sequence(cell(F.col(low), F.col(v4)), cell(F.col(high) - 1, F.col(v4)))))
+        left = df.withColumn(address, ip_to_int(field(ip))).withColumn(is4, is_ipv4(field(ip)))
+        left = left.withColumn(mine, cell(F.col(address), F.col(is4)))
+        inside = (F.col(address) >= F.col(low)) & (F.col(address) < F.col(high))
+        joined = left.join(side, (F.col(is4) == F.col(v4)) & (F.col(mine) == F.col(at)) & inside, "left")
         kept = [F.col(quoted(c)) for c in df.columns if c.lower() != name.lower()]
-        return joined.select(*kept, F.col("__geo").alias(name))
+        return joined.select(*kept, F.col(geo).alias(name))
 
     return step

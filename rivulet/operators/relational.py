@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.operators._cols import Expr, Step, expr, field, move_last, names, quoted, sort_keys
+from rivulet.operators._cols import Expr, Step, expr, field, fresh, move_last, names, quoted, sort_keys
 
 
 def pipe(df: DataFrame, *steps: Step) -> DataFrame:
@@ -120,22 +120,44 @@ def in_subsearch(columns: str | list[str], other: DataFrame, *, negate: bool = F
     keys = names(columns)
 
     def step(df: DataFrame) -> DataFrame:
-        right = other.select(*[F.col(quoted(c)).alias(f"__r{i}") for i, c in enumerate(other.columns)]).distinct()
-        if len(right.columns) != len(keys):
+        at = [fresh(df, f"__r{i}") for i in range(len(other.columns))]
+        right = other.select(*[F.col(quoted(c)).alias(r) for c, r in zip(other.columns, at, strict=True)]).distinct()
+        if len(at) != len(keys):
             raise ValueError("the subsearch must have as many columns as are compared")
-        equal = [field(k) == F.col(f"__r{i}") for i, k in enumerate(keys)]
+        equal = [field(k) == F.col(r) for k, r in zip(keys, at, strict=True)]
         if not negate:
             return df.join(right, reduce(lambda a, b: a & b, equal), "left_semi")
         if len(keys) == 1:
-            facts = other.agg(F.count("*").alias("__n"), F.count(other.columns[0]).alias("__k"))  # one row
-            kept = df.crossJoin(F.broadcast(facts)).where((F.col("__n") == 0) | (field(keys[0]).isNotNull() & (F.col("__n") == F.col("__k"))))
-            return kept.drop("__n", "__k").join(right, equal[0], "left_anti")
-        whole = reduce(lambda a, b: a & b, [field(k).isNotNull() for k in keys])
-        return df.where(whole).join(right, reduce(lambda a, b: a & b, equal), "left_anti")
+            n, k = fresh(df, "__n"), fresh(df, "__k")
+            facts = other.agg(F.count("*").alias(n), F.count(other.columns[0]).alias(k))  # one row
+            kept = df.crossJoin(F.broadcast(facts)).where((F.col(n) == 0) | (field(keys[0]).isNotNull() & (F.col(n) == F.col(k))))
+            return kept.drop(n, k).join(right, equal[0], "left_anti")
+        return _without_possible_partners(df, keys, right, at)
 
     return step
 
 
+def _without_possible_partners(df: DataFrame, keys: list[str], right: DataFrame, at: list[str]) -> DataFrame:
+    """Rows of ``df`` that no row of ``right`` equals where neither side is null.
+
+    Which keys are null on the right is a pattern; for each pattern one anti join by equality: the
+    keys that both sides have must be equal, and which keys the left side has must be the same.
+    """
+    mask = lambda cs: sum((F.when(c.isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(cs)), F.lit(0))
+    left = [field(k) for k in keys]
+    every, which = 1 << len(keys), fresh(df, "__left")
+    for pattern in range(every):
+        has = [pattern >> i & 1 for i in range(len(keys))]
+        some = right.where(mask([F.col(r) for r in at]) == pattern).withColumn(which, F.explode(F.array(*map(F.lit, range(every)))))
+        some = some.select(which, *[F.when(F.col(which).bitwiseAND(1 << i) != 0, F.col(r)).alias(r) if has[i] else F.lit(None).cast("string").alias(r) for i, r in enumerate(at)]).distinct()
+        same = mask(left) == F.col(which)
+        for i, (c, r) in enumerate(zip(left, at, strict=True)):
+            if has[i]:
+                same = same & c.eqNullSafe(F.col(r))
+        df = df.join(some, same, "left_anti")
+    return df
+
+
 def with_scalar(name: str, other: DataFrame) -> Step:
     """Add the single value of ``other`` (one aggregate row) as a column; null if it has no row."""
     return lambda df: df.withColumn(name, other.scalar())

@@ -44,17 +44,19 @@ def trendline(*trends: Trend, sort: Sequence[Expr] = (), by: Sequence[Expr] = ()
     """
     if not sort and any(t.kind == "wma" for t in trends):
         raise ValueError("a weighted average needs an order")
+    if by and not sort:
+        raise ValueError("averages in groups need an order")
     reach = max(t.n for t in trends) - 1
 
     def step(df: DataFrame) -> DataFrame:
+        row, piece, within = (fresh(df, n) for n in ("__row", "__piece", "__in"))
         if by:
-            base, rows = Window.partitionBy(*map(field, by)).orderBy(*sort_keys(sort)) if sort else Window.partitionBy(*map(field, by)).orderBy(F.monotonically_increasing_id()), df
+            base, rows = Window.partitionBy(*map(field, by)).orderBy(*sort_keys(sort)), df
         else:
-            row = numbered(df, sort, "__row").withColumn("__piece", F.floor((F.col("__row") - 1) / _PIECE))
-            last = (F.col("__piece") + 1) * _PIECE - F.col("__row") < reach  # also in the next piece's first frames
-            pieces = F.when(last, F.array(F.col("__piece"), F.col("__piece") + 1)).otherwise(F.array("__piece"))
-            rows = row.withColumn("__in", F.explode(pieces))
-            base = Window.partitionBy("__in").orderBy("__row")
+            rows = numbered(df, sort, row).withColumn(piece, F.floor((F.col(row) - 1) / _PIECE))
+            reached = F.floor((F.col(row) - 1 + reach) / _PIECE)  # the last piece whose frames look back on the row
+            rows = rows.withColumn(within, F.explode(F.sequence(F.col(piece), reached)))
+            base = Window.partitionBy(within).orderBy(row)
         new = {}
         for t in trends:
             frame = base.rowsBetween(1 - t.n, 0)
@@ -65,7 +67,7 @@ def trendline(*trends: Trend, sort: Sequence[Expr] = (), by: Sequence[Expr] = ()
                 value = sum((F.nth_value(field(t.column), i + 1).over(frame) * (i + 1) for i in range(t.n)), F.lit(0)) / (t.n * (t.n + 1) / 2)
             new[t.alias or f"{name_of(t.column)}_trendline"] = F.when(full, value)
         out = rows.withColumns(new)
-        return out if by else out.where("__in = __piece").drop("__in", "__piece", "__row")
+        return out if by else out.where(F.col(within) == F.col(piece)).drop(within, piece, row)
 
     return step
 
@@ -76,15 +78,16 @@ def numbered(df: DataFrame, order: Sequence[Expr], name: str) -> DataFrame:
     Rows are sorted by ranges of the keys and written once with their partition and their place in
     it; each partition is counted, and its rows are numbered from the sum of the counts before it.
     """
-    part, place = fresh(df, "__part"), fresh(df, "__place")
+    part, place, mine, before, n, p = (fresh(df, x) for x in ("__part", "__place", "__id", "__before", "__n", "__p"))
     ranged = df.repartitionByRange(*sort_keys(order)).sortWithinPartitions(*sort_keys(order)) if order else df
-    marked = ranged.withColumn("__id", F.monotonically_increasing_id())
-    marked = marked.withColumn(part, F.shiftright("__id", 33)).withColumn(place, F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id")
+    marked = ranged.withColumn(mine, F.monotonically_increasing_id())
+    marked = marked.withColumn(part, F.shiftright(mine, 33)).withColumn(place, F.col(mine).bitwiseAND((1 << 33) - 1)).drop(mine)
     marked = save(marked, "numbered")
-    counts = marked.groupBy(part).agg((F.max(place) + 1).alias("__n"))  # one row for each partition
-    before = counts.select(F.col(part).alias("__p"), F.coalesce(F.sum("__n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    out = marked.join(F.broadcast(before), F.col(part) == F.col("__p"))
-    return out.withColumn(name, F.col("__before") + F.col(place) + 1).drop(part, place, "__p", "__before")
+    counts = marked.groupBy(part).agg((F.max(place) + 1).alias(n))  # one row for each partition
+    upto = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col(part).alias(p), F.coalesce(F.sum(n).over(upto), F.lit(0)).alias(before))
+    out = marked.join(F.broadcast(starts), F.col(part) == F.col(p))
+    return out.withColumn(name, F.col(before) + F.col(place) + 1).drop(part, place, p, before)
 
 
 def appendcol(sub: Callable[[DataFrame], DataFrame], *, override: bool = False, order: Sequence[Expr] = (), sub_order: Sequence[Expr] = ()) -> Step:
@@ -96,12 +99,13 @@ def appendcol(sub: Callable[[DataFrame], DataFrame], *, override: bool = False,
 
     def step(df: DataFrame) -> DataFrame:
         right = sub(df)
-        a = numbered(df, order, "__n1")
-        b = numbered(right, sub_order, "__n2")
+        one, two = fresh(df, "__n1"), fresh(right, "__n2")
+        a = numbered(df, order, one)
+        b = numbered(right, sub_order, two)
         taken = {c.lower() for c in right.columns} if override else set()
         left_columns = [c for c in df.columns if c.lower() not in taken]
-        a = a.select("__n1", *[F.col(quoted(c)).alias(f"__a{i}") for i, c in enumerate(left_columns)])
-        b = b.select("__n2", *[F.col(quoted(c)).alias(f"__b{i}") for i, c in enumerate(right.columns)])
+        a = a.select(F.col(one).alias("__n1"), *[F.col(quoted(c)).alias(f"__a{i}") for i, c in enumerate(left_columns)])
+        b = b.select(F.col(two).alias("__n2"), *[F.col(quoted(c)).alias(f"__b{i}") for i, c in enumerate(right.columns)])
         return a.join(b, F.col("__n1") == F.col("__n2"), "full").select(
             *[F.col(f"__a{i}").alias(c) for i, c in enumerate(left_columns)],
             *[F.col(f"__b{i}").alias(c) for i, c in enumerate(right.columns)],

@@ -146,13 +146,13 @@ def append_columns(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT 'l_quantity' AS "Field", count(l_quantity) AS "COUNT", count(DISTINCT l_quantity) AS "DISTINCT", avg(l_quantity) AS "AVG", avg(l_quantity) AS "MEAN",
+SELECT 'l_quantity' AS "Field", count(l_quantity) AS "COUNT", count(DISTINCT l_quantity) AS "DISTINCT", min(l_quantity)::VARCHAR AS "MIN", max(l_quantity)::VARCHAR AS "MAX", avg(l_quantity) AS "AVG", avg(l_quantity) AS "MEAN",
   stddev_samp(l_quantity) AS "STDDEV", count(*) - count(l_quantity) AS "Nulls", 'double' AS "TYPEOF" FROM lineitem
-UNION ALL SELECT 'l_linenumber', count(l_linenumber), count(DISTINCT l_linenumber), avg(l_linenumber), avg(l_linenumber), stddev_samp(l_linenumber), count(*) - count(l_linenumber), 'int' FROM lineitem
-UNION ALL SELECT 'l_returnflag', count(l_returnflag), count(DISTINCT l_returnflag), NULL, NULL, NULL, count(*) - count(l_returnflag), 'string' FROM lineitem
+UNION ALL SELECT 'l_linenumber', count(l_linenumber), count(DISTINCT l_linenumber), min(l_linenumber)::VARCHAR, max(l_linenumber)::VARCHAR, avg(l_linenumber), avg(l_linenumber), stddev_samp(l_linenumber), count(*) - count(l_linenumber), 'int' FROM lineitem
+UNION ALL SELECT 'l_returnflag', count(l_returnflag), count(DISTINCT l_returnflag), min(l_returnflag), max(l_returnflag), NULL, NULL, NULL, count(*) - count(l_returnflag), 'string' FROM lineitem
 """)
 def field_summary(t: Tables) -> DataFrame:
-    return pipe(t.lineitem, O.fieldsummary(["l_quantity", "l_linenumber", "l_returnflag"])).drop("MIN", "MAX")
+    return pipe(t.lineitem, O.fieldsummary(["l_quantity", "l_linenumber", "l_returnflag"]))
 
 
 @query("SELECT * FROM (SELECT n_nationkey, n_name FROM nation ORDER BY n_name DESC NULLS LAST LIMIT 7) WHERE n_nationkey > 1")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivulet import functions as R
-from rivulet.operators import count, evaluate, fields, pipe, stats, where
+from rivulet.functions.catalogue import function
+from rivulet.operators import count, evaluate, fields, geoip, in_subsearch, pipe, rare, self_correlate, stats, where
 from rivulet.plans._registry import Tables, query
 
 
@@ -133,3 +134,103 @@ def condition_functions_all(t: Tables) -> DataFrame:
         t.orders, evaluate(filled="o_orderstatus = 'F'", status="ifnull(nullif(o_orderstatus, 'O'), 'none')", blank=R.isblank("o_orderpriority")),
         stats(count().alias("n"), by=["filled", "status", "blank"]),
     )
+
+
+def _named(df: DataFrame, key: str, **calls: tuple) -> DataFrame:
+    """Functions found by their names: result = (name, arguments...)."""
+    return df.select(key, *[function(name)(*args).alias(out) for out, (name, *args) in calls.items()])
+
+
+@query("""
+WITH a AS (SELECT event_id, value AS v, value / 1000 AS s, (event_id % 50)::BIGINT AS n FROM events)
+SELECT event_id, ceil(v)::BIGINT AS ceiling, floor(v)::BIGINT AS floor, round(exp(1) + n, 6) AS e, round(exp(s), 6) AS exp, round(exp(s) - 1, 6) AS expm1, round(ln(v + 1), 6) AS log,
+  round(log10(v + 1), 6) AS log10, round(log2(v + 1), 6) AS log2, round(pi() + n, 6) AS pi, round(power(v, 2), 4) AS power, round(v) AS round, sign(v - 50) AS signum,
+  round(cbrt(v), 6) AS cbrt, round(acos(s / 2), 6) AS acos, round(asin(s / 2), 6) AS asin, round(atan(v), 6) AS atan, round(atan2(v, s + 1), 6) AS atan2, round(cos(v), 6) AS cos,
+  round(cosh(s), 6) AS cosh, round(sinh(s), 6) AS sinh, round(cot(s + 1), 6) AS cot, round(degrees(v), 4) AS degrees, round(radians(v), 6) AS radians, round(tan(s), 6) AS tan, n % 7 AS mod,
+  v - 1 AS subtract, v * 3 AS multiply, upper(hex(n)) AS conv, sha1(n::VARCHAR) AS sha1, sha256(n::VARCHAR) AS sha2 FROM a
+""")
+def math_functions_named(t: Tables) -> DataFrame:
+    a = t.events.selectExpr("event_id", "value as v", "value / 1000 as s", "cast(event_id % 50 as bigint) as n")
+    v, s, n = F.col("v"), F.col("s"), F.col("n")
+    plain = _named(
+        a, "event_id", ceiling=("ceiling", v), floor=("floor", v), e=("round", function("e")() + n, 6), exp=("exp", s), expm1=("expm1", s), log=("log", v + 1), log10=("log10", v + 1),
+        log2=("log2", v + 1), pi=("round", function("pi")() + n, 6), power=("power", v, 2), round=("rint", F.floor(v + 0.5).cast("double")), signum=("signum", v - 50), cbrt=("cbrt", v),
+        acos=("acos", s / 2), asin=("asin", s / 2), atan=("atan", v), atan2=("atan2", v, s + 1), cos=("cos", v), cosh=("cosh", s), sinh=("sinh", s), cot=("cot", s + 1),
+        degrees=("degrees", v), radians=("radians", v), tan=("tan", s), mod=("mod", n, 7), subtract=("subtract", v, 1), multiply=("multiply", v, 3), conv=("conv", n, 10, 16),
+        sha1=("sha1", n.cast("string")), sha2=("sha2", n.cast("string"), 256),
+    )
+    digits = {"power": 4, "degrees": 4} | dict.fromkeys("exp expm1 log log10 log2 cbrt acos asin atan atan2 cos cosh sinh cot radians tan".split(), 6)
+    return plain.select(*[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in plain.columns])
+
+
+@query("""
+WITH a AS (SELECT event_id, ts::TIMESTAMP AS t FROM events)
+SELECT event_id, t::DATE::VARCHAR AS day, date_diff('day', DATE '2020-01-01', t::DATE)::INTEGER AS days, strftime(t, '%Y/%m/%d') AS written, day(t)::INTEGER AS dayofmonth,
+  (dayofweek(t) + 1)::INTEGER AS dayofweek, dayofyear(t)::INTEGER AS dayofyear, hour(t)::INTEGER AS hour, minute(t)::INTEGER AS minute, second(t)::INTEGER AS second, month(t)::INTEGER AS month,
+  year(t)::INTEGER AS year, last_day(t)::VARCHAR AS last_day, (DATE '2024-01-01' + (dayofyear(t) - 1)::INTEGER)::VARCHAR AS makedate, make_date(year(t), month(t), 1)::VARCHAR AS make_date,
+  (isodow(t) - 1)::INTEGER AS weekday, week(t)::INTEGER AS weekofyear, epoch(t)::BIGINT AS unix_timestamp, (t::DATE + 3)::VARCHAR AS adddate, (t::DATE - 3)::VARCHAR AS subdate,
+  strftime(t + INTERVAL 5 HOUR, '%Y-%m-%d %H:%M:%S') AS timestampadd FROM a
+""")
+def date_functions_named(t: Tables) -> DataFrame:
+    a = t.events.select("event_id", F.col("ts").cast("timestamp").alias("t"))
+    x, d = F.col("t"), F.col("t").cast("date")
+    plain = _named(
+        a, "event_id", day=("date", x), days=("datediff", d, F.lit("2020-01-01").cast("date")), written=("date_format", x, "yyyy/MM/dd"), dayofmonth=("day_of_month", x),
+        dayofweek=("day_of_week", x), dayofyear=("dayofyear", x), hour=("hour_of_day", x), minute=("minute_of_hour", x), second=("second_of_minute", x), month=("month_of_year", x),
+        year=("year", x), last_day=("last_day", x), makedate=("makedate", 2024, F.dayofyear(x)), make_date=("make_date", F.year(x), F.month(x), F.lit(1)), weekday=("weekday", x),
+        weekofyear=("weekofyear", x), unix_timestamp=("unix_timestamp", x), adddate=("adddate", d, 3), subdate=("subdate", d, 3), timestampadd=("timestampadd", "HOUR", 5, x),
+    )
+    text = ("day", "last_day", "makedate", "make_date", "adddate", "subdate")
+    return plain.select(*[F.col(c).cast("date").cast("string").alias(c) if c in text else F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if c == "timestampadd" else F.col(c) for c in plain.columns])
+
+
+@query("""
+WITH a AS (SELECT p_partkey, '  ' || p_name || ' ' AS n, p_brand AS b, p_type AS y FROM part)
+SELECT p_partkey, ascii(b) AS ascii, concat_ws('-', b, y) AS concat_ws, left(b, 3) AS left_part, position('a' IN n)::INTEGER AS locate, lower(b) AS lower, ltrim(n) AS ltrim, rtrim(n) AS rtrim,
+  trim(n) AS trim, right(b, 2) AS right_part, substr(y, 2, 4) AS substr, regexp_matches(b, '[0-9]$') AS regexp, CASE WHEN length(y) > 20 THEN b ELSE y END AS chosen,
+  y IS NULL AS isnull, y IS NOT NULL AS isnotnull, y IS NOT NULL AS ispresent, y IS NULL OR y = '' AS isempty, 'string' AS typeof, contains(b, '.') AND false AS is_ipv4,
+  len(string_split(y, ' '))::INTEGER AS words, '["' || b || '"]' AS json_array, '{"b":"' || b || '"}' AS json_object, 2::INTEGER AS json_length FROM a
+""")
+def text_functions_named(t: Tables) -> DataFrame:
+    a = t.part.select("p_partkey", F.concat(F.lit("  "), "p_name", F.lit(" ")).alias("n"), F.col("p_brand").alias("b"), F.col("p_type").alias("y"))
+    n, b, y = F.col("n"), F.col("b"), F.col("y")
+    return _named(
+        a, "p_partkey", ascii=("ascii", b), concat_ws=("concat_ws", "-", b, y), left_part=("left", b, F.lit(3)), locate=("locate", "a", n), lower=("lower", b), ltrim=("ltrim", n), rtrim=("rtrim", n),
+        trim=("trim", n), right_part=("right", b, F.lit(2)), substr=("substr", y, F.lit(2), F.lit(4)), regexp=("regexp", b, F.lit("[0-9]$")), chosen=("if", F.length(y) > 20, b, y),
+        isnull=("isnull", y), isnotnull=("isnotnull", y), ispresent=("ispresent", y), isempty=("isempty", y), typeof=("typeof", y), is_ipv4=("is_ipv4", b),
+        words=("array_length", F.split(y, " ")), json_array=("to_json_string", F.array(b)), json_object=("to_json_string", F.struct(b)), json_length=("json_array_length", F.lit("[1,2]")),
+    )
+
+
+@query("""
+SELECT o_orderkey, o_custkey FROM orders WHERE (o_custkey, o_orderstatus) NOT IN (SELECT c_custkey, 'F' FROM customer WHERE c_acctbal < 0)
+""")
+def not_in_two_columns(t: Tables) -> DataFrame:
+    other = t.customer.where("c_acctbal < 0").select("c_custkey", F.lit("F").alias("status"))
+    return pipe(t.orders, in_subsearch(["o_custkey", "o_orderstatus"], other, negate=True), fields("o_orderkey", "o_custkey"))
+
+
+@query("SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL ORDER BY n, o_orderpriority, o_orderstatus")
+def rare_by(t: Tables) -> DataFrame:
+    return pipe(t.orders, rare("o_orderpriority", by="o_orderstatus", count_name="n"))
+
+
+@query("SELECT a.c_custkey AS one, b.c_custkey AS other FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment")
+def self_correlation(t: Tables) -> DataFrame:
+    out = self_correlate(t.customer.select("c_custkey", "c_nationkey", "c_mktsegment"), ["c_nationkey", "c_mktsegment"])
+    return out.toDF("one", "n1", "s1", "other", "n2", "s2").select("one", "other")
+
+
+@query("""
+WITH a AS (SELECT event_id, (event_id % 256)::BIGINT AS a, (user_id % 256)::BIGINT AS b FROM events)
+SELECT event_id, CASE WHEN a < 64 THEN 'XA' WHEN a < 128 THEN 'XB' END AS country FROM a
+""")
+def geoip_country(t: Tables) -> DataFrame:
+    """Addresses made of the events' keys, and ranges made of their first numbers."""
+    made = t.events.selectExpr("event_id", "concat(event_id % 256, '.', user_id % 256, '.1.9') as ip")
+    quarter = F.col("quarter").cast("decimal(38,0)") * F.lit(1 << 30).cast("decimal(38,0)")
+    ranges = t.events.selectExpr("int((event_id % 256) / 64) as quarter").distinct().where("quarter < 2").select(
+        quarter.cast("decimal(38,0)").alias("ip_range_start"), (quarter + F.lit(1 << 30).cast("decimal(38,0)")).cast("decimal(38,0)").alias("ip_range_end"), F.lit(True).alias("ipv4"),
+        F.when(F.col("quarter") == 0, "XA").otherwise("XB").alias("country_iso_code"),
+    )
+    return pipe(made, geoip("country", "ip", ranges, ["COUNTRY_ISO_CODE"]), fields("event_id", "country"))

@@ -77,6 +77,18 @@ def test_values(spark):
         R.cast("x", "geometry")
 
 
+@pytest.mark.parametrize(("x", "digits", "want"), [(1.15, 2, 1.15), (-1.15, 1, -1.1), (1e18, 2, 1e18), (1e300, 0, 1e300), (1234.5, -2, 1200.0), (0.3, 1, 0.3), (8.2, 1, 8.2)])
+def test_truncation_is_decimal(spark, x, digits, want):
+    assert one(spark, R.truncate(F.lit(x), digits)) == want
+
+
+def test_if_and_makedate_by_name(spark):
+    from rivulet.functions.catalogue import function
+
+    assert one(spark, function("if")(F.lit(1) > 2, "a", F.lit("b"))) == "b"
+    assert str(one(spark, function("makedate")(2023, 366))) == "2024-01-01" and one(spark, function("makedate")(2023, 0)) is None
+
+
 def test_dates(spark):
     d = F.lit("2020-02-29").cast("date")
     assert one(spark, R.date_add(d, 1, "year")) == datetime.date(2021, 2, 28)

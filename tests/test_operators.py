@@ -250,3 +250,65 @@ def test_take_keeps_few_rows(people):
 def test_names_of_columns_and_expressions(states):
     df = pipe(states, O.stats(O.avg(F.col("age")), O.sum_("age * 2"), O.max_("age"), by=O.span(F.col("age"), 25)))
     assert df.columns == ["avg(age)", "sum(age * 2)", "max(age)", "span(age,25)"]
+
+
+def test_not_in_with_several_keys_has_sql_rules(spark):
+    rows = [(1, 2), (1, None), (None, None), (3, 4)]
+    left = spark.createDataFrame(rows, "a long, __left long")
+
+    def kept(right):
+        df = spark.createDataFrame(right, "x long, y long")
+        return sorted((tuple(r) for r in pipe(left, O.in_subsearch(["a", "__left"], df, negate=True)).collect()), key=repr)
+
+    def want(right):  # not in: for every row the comparison is false
+        false = lambda l, r: any(x is not None and y is not None and x != y for x, y in zip(l, r))
+        return sorted((l for l in rows if all(false(l, r) for r in right)), key=repr)
+
+    for right in ([], [(1, None)], [(2, 3)], [(1, 2)], [(None, None)], [(None, 4)], [(1, 2), (None, 9)], [(5, 6), (5, 6)]):
+        assert kept(right) == want(right), right
+
+
+def test_columns_of_the_user_survive(spark):
+    df = spark.createDataFrame([(i, float(i), i, i, i) for i in range(5)], "i long, v double, __id long, __piece long, __row long")
+    out = pipe(df, O.trendline(O.sma(2, "v", "a"), sort=["i"]), O.sort("i")).collect()
+    assert [(r["__id"], r["__piece"], r["__row"], r["a"]) for r in out] == [(i, i, i, None if not i else i - 0.5) for i in range(5)]
+    ranked = spark.createDataFrame([(1, 7)], "__rank long, v long")
+    assert pipe(ranked, O.take("__rank", 2, by="v", alias="t")).first()["t"] == [1]
+    with pytest.raises(ValueError):
+        O.trendline(O.sma(2, "v"), by=["i"])
+
+
+def test_frames_longer_than_a_piece(spark, monkeypatch):
+    from rivulet.operators import windows
+
+    monkeypatch.setattr(windows, "_PIECE", 4)
+    got = pipe(spark.range(30).select("id", F.col("id").cast("double").alias("v")), O.trendline(O.sma(11, "v", "a"), sort=["id"]), O.sort("id")).collect()
+    assert [r["a"] for r in got] == [None] * 10 + [float(i - 5) for i in range(10, 30)]
+
+
+def test_skipping_over_folders_and_other_types(spark, tmp_path):
+    from rivulet.indexes import skipping
+
+    path = str(tmp_path / "t")
+    spark.range(100).selectExpr("id", "cast(2022 + id % 2 as int) as year", "lpad(cast(id % 10 as string), 2, '0') as s").write.partitionBy("year").parquet(path)
+    table = spark.read.parquet(path)
+    for kinds in ({"year": "PARTITION"}, {"id": "MIN_MAX"}, {"id": "PARTITION"}, {"s": "BLOOM_FILTER"}):
+        index = skipping.build(table, kinds)
+        for conditions in ([("year", "=", 2023)], [("id", "<", 10)], [("id", "=", 50)], [("s", "=", 5)], [("s", "=", "05")], [("year", "in", [2022, 2030])]):
+            want = table
+            for c, op, v in conditions:
+                want = want.where(F.col(c).isin(v) if op == "in" else F.col(c) < v if op == "<" else F.col(c) == F.lit(v))
+            got = skipping.read(spark, path, index, kinds, conditions)
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), (kinds, conditions)
+
+
+def test_written_tables_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from rivulet.scratch import shared_dir
+
+    for master in ("spark://x:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master=master, applicationId="a")))
+    here = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master="local[2]", applicationId="a"))
+    assert shared_dir(here) == shared_dir(here)
