@@ -33,7 +33,7 @@ _WORD = re.compile(r"[^\W_]+")
 _WINDOW = 5  # words that are compressed together
 _MINED = ((2, 3, 6, 2, 1), (3, 2, 3, 4, 1))
 _TOXIC_BYTES = 2_048
-_INDEX = 22  # bits of the largest table of positions: all of a dictionary of 4 MB is found
+_INDEX = 21  # bits of the largest tables of positions
 _HASHES = 1 << 30
 
 
@@ -112,8 +112,13 @@ def mined(texts: list[list[str]], ordinary: bytes) -> list[bytes]:
         length = {x: len(plain(x)) for x in {x for _, x in held}}
         for r in range(rounds):
             part = np.random.default_rng(r).permutation(len(texts)) % parts
-            sides = [_compressor(ordinary + b"".join(x for i, x in held if 0 < (part[i] - p) % parts <= others)) for p in range(parts)]
-            held = [(i, x) for i, x in held if length[x] - len(sides[part[i]](x)) >= least]
+            stays = np.zeros(len(held), dtype=bool)
+            for p in range(parts):  # one dictionary in memory at a time
+                toxic = _compressor(ordinary + b"".join(x for i, x in held if 0 < (part[i] - p) % parts <= others))
+                for k, (i, x) in enumerate(held):
+                    if part[i] == p:
+                        stays[k] = length[x] - len(toxic(x)) >= least
+            held = [w for w, stay in zip(held, stays.tolist(), strict=True) if stay]
         out += [x for _, x in held]
     return out
 
