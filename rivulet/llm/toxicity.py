@@ -167,12 +167,14 @@ def fit(
     """
     known = labels.where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
     known = known.select("_id", (F.col("_toxic") > 0).cast("int").alias("_toxic"), F.pmod(F.xxhash64("_id", F.lit("toxic")), F.lit(_HASHES)).alias("_draw"))
-    found = docs.select(F.col("doc_id").alias("_doc"), F.col(text).alias("_text")).join(known, F.col("_doc") == F.col("_id"))
-    totals = {r["_toxic"]: (r["n"], r["size"]) for r in found.groupBy("_toxic").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)).alias("size")).collect()}
+    texts = docs.select(F.col("doc_id").alias("_doc"), F.col(text).alias("_text"))
+    sizes = texts.select("_doc", F.octet_length("_text").alias("_size")).join(known, F.col("_doc") == F.col("_id"))  # no text is shuffled
+    totals = {r["_toxic"]: (r["n"], r["size"]) for r in sizes.groupBy("_toxic").agg(F.count("*").alias("n"), F.coalesce(F.sum("_size"), F.lit(0)).alias("size")).collect()}
     if set(totals) != {0, 1}:
         return None
     below = [int(_HASHES * min(1.0, most / totals[k][0], sample_bytes / max(1, totals[k][1]))) for k, most in ((0, ordinary_texts), (1, toxic_texts))]
-    rows = found.where(F.col("_draw") < F.when(F.col("_toxic") == 1, below[1]).otherwise(below[0])).select("_doc", "_toxic", "_text").collect()
+    drawn = known.where(F.col("_draw") < F.when(F.col("_toxic") == 1, below[1]).otherwise(below[0])).select("_id", "_toxic")  # about as many ids as texts
+    rows = texts.join(F.broadcast(drawn), F.col("_doc") == F.col("_id")).select("_doc", "_toxic", "_text").collect()
     rows = sorted(((r["_doc"], r["_text"] or "", r["_toxic"]) for r in rows))
     random.Random(5).shuffle(rows)
     held = rows[::3]
