@@ -4,6 +4,7 @@
 2. Texts are cut into pieces where their own bytes say so. A piece that, with the bytes its last
    windows reach into, also stands in a document with a smaller id is removed as it is: all its
    windows start there, too. Only the smallest document of each such piece takes part from here on.
+   A block settles its own copies first and sends each piece once, for its smallest document.
    Pieces are told apart by 128 bits of a hash (12 bytes and the place); their bytes are not compared.
 3. Every window of ``length`` bytes has an anchor: the short substring in it with the smallest
    hash (the leftmost of equal ones). A window is known by the hash of its anchor and of the bytes
@@ -14,7 +15,8 @@
    fragments collapse; the others are sorted as one suffix array, in which windows whose common
    prefix with their neighbour reaches ``length`` are the same. Each window's smallest document
    tells which other documents lose it. A hash that very many blocks have is dealt out by the
-   windows' own bytes instead, so that no place gathers it.
+   windows' own bytes instead. Here, too, a block sends each fragment or window for its smallest
+   document only and removes it from its other documents itself.
 5. The removed ranges go back to the blocks.
 """
 
@@ -205,10 +207,38 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
         yield now, rows
 
 
+def _own_place(block: int, places: int) -> int:
+    """Where what a block has found out by itself passes through."""
+    return ((block >> 32) + (block & 0xFFFFFFFF)) % places
+
+
+def _united(spans: list[tuple[int, int]]) -> np.ndarray:
+    """Ranges in order, those that touch as one."""
+    a, b = np.array(sorted(spans), dtype=np.int32).reshape(-1, 2).T
+    reach = np.maximum.accumulate(b)
+    first = np.flatnonzero(np.append(True, a[1:] > reach[:-1])) if len(a) else np.zeros(0, dtype=np.int64)
+    return np.stack([a[first], reach[np.append(first[1:], len(a))[: len(first)] - 1]], axis=1)
+
+
+def _least_of_equal(found: np.ndarray, id_of: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of equal digests: the first of the smallest id, those of larger ids, and (number, first) of further ones of the smallest id."""
+    high, low = np.ascontiguousarray(found).view(U).reshape(-1, 2).T
+    order = np.lexsort((id_of, low, high))
+    new = np.append(True, (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1]))[: len(order)]
+    first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    larger = id_of[order] > id_of[first]
+    twin = ~new & ~larger
+    return order[new], order[larger].astype(np.int32), np.stack([order[twin], first[twin]], axis=1).astype(np.int32)
+
+
 def _digests(blocks: DataFrame, length: int, places: int) -> DataFrame:
-    """By place and block: digests of pieces (with the bytes that their last windows reach into), document ids, piece numbers."""
+    """By place and block: distinct digests of pieces (with the bytes that their last windows reach into), smallest document ids, piece numbers.
+
+    One more row of a block, without digests, holds the pieces that it removes itself and the further ones of the smallest ids.
+    """
 
     def digested(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in rows:
             for block, ids, sizes, payload in zip(*(batch.column(c).to_pylist() for c in ("block", "ids", "sizes", "payload")), strict=True):
                 data, begin, size = _unpacked(payload, sizes)
@@ -218,17 +248,19 @@ def _digests(blocks: DataFrame, length: int, places: int) -> DataFrame:
                 found = np.frombuffer(b"".join(digest(raw[a : b + length - 1], b - a) for a, b in zip(start.tolist(), end.tolist(), strict=True)), dtype=np.uint8).reshape(-1, 16)
                 place = np.ascontiguousarray(found[:, _DIGEST:]).view(np.uint32).ravel() % np.uint32(places)
                 id_of = np.array([_NO_ID if x is None else x for x in ids], dtype=np.int64)[doc]
-                order = np.argsort(place, kind="stable")
+                least, larger, twins = _least_of_equal(found, id_of)
+                order = least[np.argsort(place[least], kind="stable")]
                 full, cut = np.unique(place[order], return_index=True)  # places that the block has something for
                 parts = np.split(order, cut[1:]) if len(order) else []
-                yield pa.record_batch(
-                    [
-                        pa.array(full.tolist(), pa.int32()), pa.array([block] * len(full), pa.int64()),
-                        pa.array([np.ascontiguousarray(found[o, :_DIGEST]).tobytes() for o in parts], pa.binary()),
-                        pa.array([_packed(id_of[o]) for o in parts], pa.binary()), pa.array([_packed(o.astype(np.int32)) for o in parts], pa.binary()),
-                    ],
-                    ["place", "block", "digests", "ids", "numbers"],
-                )
+                out = [
+                    (to, block, np.ascontiguousarray(found[o, :_DIGEST]).tobytes(), _packed(id_of[o]), _packed(o.astype(np.int32)))
+                    for to, o in zip(full.tolist(), parts, strict=True)
+                ]
+                if len(larger) or len(twins):
+                    out.append((_own_place(block, places), block, None, pack(larger.tobytes()), pack(twins.tobytes())))
+                if out:
+                    types = [pa.int32(), pa.int64(), *[pa.binary()] * 3]
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["place", "block", "digests", "ids", "numbers"])
 
     return blocks.mapInArrow(digested, "place int, block long, digests binary, ids binary, numbers binary")
 
@@ -239,6 +271,12 @@ def _known_pieces(digests: DataFrame, places: int) -> DataFrame:
     def found(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for _, blocks in _groups(rows):
+            own = [x for x in blocks if x[1] is None]
+            if own:
+                yield pa.record_batch([pa.array([x[i] for x in own], t) for i, t in ((0, pa.int64()), (2, pa.binary()), (3, pa.binary()))], names)
+            blocks = [x for x in blocks if x[1] is not None]
+            if not blocks:
+                continue
             raw = np.frombuffer(b"".join(x[1] for x in blocks), dtype=np.uint8).reshape(-1, _DIGEST)
             high = np.ascontiguousarray(raw[:, :8]).view(U).ravel()
             low = np.ascontiguousarray(raw[:, 8:]).view(np.uint32).ravel()
@@ -256,13 +294,30 @@ def _known_pieces(digests: DataFrame, places: int) -> DataFrame:
                 yield pa.record_batch(
                     [
                         pa.array([blocks[i][0] for i in full], pa.int64()), pa.array([pack(number[lost[cut[i] : cut[i + 1]]].tobytes()) for i in full], pa.binary()),
-                        pa.array([int(cut[i + 1] - cut[i]) for i in full], pa.int64()),
+                        pa.nulls(len(full), pa.binary()),
                     ],
-                    ["block", "gone", "n"],
+                    names,
                 )
 
+    def with_twins(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            out = []
+            for block, gone, twins in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                numbers = _numbers(gone)
+                if twins is not None:
+                    number, like = _numbers([twins]).reshape(-1, 2).T
+                    numbers = np.append(numbers, number[np.isin(like, numbers)])
+                if len(numbers):
+                    out.append((block, [zstandard.compress(numbers.tobytes(), 3)], len(numbers)))
+            if out:
+                types = [pa.int64(), pa.list_(pa.binary()), pa.int64()]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["block", "gone", "n"])
+
+    names = ["block", "gone", "twins"]
+
     dealt = digests.repartition(min(places, 4 * shuffle_partitions(digests.sparkSession)), "place").sortWithinPartitions("place")
-    return dealt.mapInArrow(found, "block long, gone binary, n long").groupBy("block").agg(F.collect_list("gone").alias("gone"), F.sum("n").alias("n"))
+    by_block = dealt.mapInArrow(found, "block long, gone binary, twins binary").groupBy("block").agg(F.collect_list("gone").alias("gone"), F.max("twins").alias("twins"))
+    return by_block.mapInArrow(with_twins, "block long, gone array<binary>, n long")
 
 
 def _hashes(blocks: DataFrame, length: int, places: int) -> DataFrame:
@@ -328,7 +383,10 @@ def _shared(hashes: DataFrame, places: int, hot_blocks: int) -> DataFrame:
 
 
 def _fragments(blocks: DataFrame, length: int, places: int) -> DataFrame:
-    """By place and block: distinct fragments with the documents and positions that have them."""
+    """By place and block: distinct fragments with the smallest document and its positions.
+
+    One more row of a block, with nothing but bytes, holds the ranges that it removes from its other documents itself.
+    """
     names = ["place", "block", "keys", "sizes", "bytes", "counts", "ids", "at"]
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,25 +408,37 @@ def _fragments(blocks: DataFrame, length: int, places: int) -> DataFrame:
                 raw = data.tobytes()
                 id_of = [_NO_ID if x is None else x for x in ids]
                 by: dict[int, dict[bytes, list]] = {}
+                lost: list[tuple[int, int]] = []
+
+                def note(to: int, x: bytes, short: int, doc: int, at: int, by: dict = by, lost: list = lost) -> None:
+                    own = by.setdefault(to, {}).setdefault(x, [short, doc, []])
+                    if doc > own[1]:
+                        lost.append((at, at + len(x)))
+                        return
+                    if doc < own[1]:
+                        lost.extend((i, i + len(x)) for i in own[2])
+                        own[1:] = doc, []
+                    own[2].append(at)
+
                 for key, start, windows, d, very in zip(h.tolist(), at.tolist(), n.tolist(), doc.tolist(), hot.tolist(), strict=True):
                     if very:
                         for i in range(start, start + windows):
                             x = raw[i : i + length]
                             to, short = divmod(xxhash.xxh3_64_intdigest(x), 1 << 32)
-                            by.setdefault(to % places, {}).setdefault(x, [short]).append((id_of[d], i))
+                            note(to % places, x, short, id_of[d], i)
                     else:
-                        x = raw[start : start + windows + length - 1]
-                        by.setdefault(key >> 32, {}).setdefault(x, [key & 0xFFFFFFFF]).append((id_of[d], start))
+                        note(key >> 32, raw[start : start + windows + length - 1], key & 0xFFFFFFFF, id_of[d], start)
                 out: list[tuple] = []
                 for place, own in sorted(by.items()):
-                    each = [o for x in own.values() for o in x[1:]]
                     out.append(
                         (
                             place, block, np.array([x[0] for x in own.values()], dtype=np.uint32).tobytes(), pack(np.array([len(b) for b in own], dtype=np.int32).tobytes()),
-                            pack(b"".join(own)), pack(np.array([len(x) - 1 for x in own.values()], dtype=np.int32).tobytes()),
-                            pack(np.array([o[0] for o in each], dtype=np.int64).tobytes()), pack(np.array([o[1] for o in each], dtype=np.int32).tobytes()),
+                            pack(b"".join(own)), pack(np.array([len(x[2]) for x in own.values()], dtype=np.int32).tobytes()),
+                            pack(np.array([x[1] for x in own.values()], dtype=np.int64).tobytes()), pack(np.array([i for x in own.values() for i in x[2]], dtype=np.int32).tobytes()),
                         )
                     )
+                if lost:
+                    out.append((_own_place(block, places), block, None, None, _packed(_united(lost).ravel()), None, None, None))
                 if out:
                     types = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
@@ -418,13 +488,18 @@ def _removed(fragments: DataFrame, length: int, places: int) -> DataFrame:
         unpack = zstandard.ZstdDecompressor().decompress
         for _, blocks in _groups(rows):
             by_key: dict[int, dict[bytes, list]] = {}
+            own_spans = [(block, data) for block, keys, _, data, *_ in blocks if keys is None]
+            if own_spans:
+                yield pa.record_batch([pa.array([x[0] for x in own_spans], pa.int64()), pa.array([x[1] for x in own_spans], pa.binary())], ["block", "spans"])
             for block, keys, sizes, data, counts, ids, at in blocks:
+                if keys is None:
+                    continue
                 low = o = 0
                 sizes, data, counts, ids, at = map(unpack, (sizes, data, counts, ids, at))
                 ids, at = np.frombuffer(ids, dtype=np.int64).tolist(), np.frombuffer(at, dtype=np.int32).tolist()
-                for key, n, count in zip(*(np.frombuffer(x, dtype=t).tolist() for x, t in ((keys, np.uint32), (sizes, np.int32), (counts, np.int32))), strict=True):
+                for key, n, count, doc in zip(*(np.frombuffer(x, dtype=t).tolist() for x, t in ((keys, np.uint32), (sizes, np.int32), (counts, np.int32))), ids, strict=True):
                     own = by_key.setdefault(key, {}).setdefault(data[low : low + n], [])
-                    own.extend((block, ids[k], at[k]) for k in range(o, o + count))
+                    own.extend((block, doc, at[k]) for k in range(o, o + count))
                     low, o = low + n, o + count
             spans: dict[int, list] = {}
             batch: list = []
@@ -446,7 +521,7 @@ def _removed(fragments: DataFrame, length: int, places: int) -> DataFrame:
                 sort_parts(batch, spans)
             if spans:
                 yield pa.record_batch(
-                    [pa.array(list(spans), pa.int64()), pa.array([_packed(np.array(sorted(s), dtype=np.int32).ravel()) for s in spans.values()], pa.binary())], ["block", "spans"]
+                    [pa.array(list(spans), pa.int64()), pa.array([_packed(_united(s).ravel()) for s in spans.values()], pa.binary())], ["block", "spans"]
                 )
 
     dealt = fragments.repartition(min(places, 4 * shuffle_partitions(fragments.sparkSession)), "place").sortWithinPartitions("place")

@@ -5,6 +5,7 @@ from llm_helpers import removed as brute_removed
 from pyspark.sql import functions as F
 
 from rivulet.llm import near_duplicates as forest
+from rivulet.llm import substring_dedup as substrings
 from rivulet.llm.near_duplicates import components, keep_first, near_duplicates, shortest_prefix
 from rivulet.llm.substring_dedup import remove_repeats
 
@@ -109,6 +110,27 @@ def test_removed_substrings_against_all_windows(spark):
     assert _gone(df, block_bytes=700, hot_blocks=3) == want
 
 
+def test_copies_inside_blocks_and_pieces_repeated_in_one_document(spark):
+    """What a block settles itself (copies, further pieces of its smallest document) and what other blocks add."""
+    r = random.Random(5)
+    x, y = ("".join(r.choice("abcdefgh ") for _ in range(2000)) for _ in range(2))
+    rows = [(40 + i, x + y[: 50 * i]) for i in range(12)] + [(30, x + x + y + x), (20, y + "z" * 120 + y + x[700:]), (30, x), (10, x[:900])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = brute_removed(rows)
+    for block_bytes in (9_000, 1 << 20):
+        assert _gone(df, block_bytes=block_bytes) == _gone(df, block_bytes=block_bytes, hot_blocks=2) == want
+
+
+def test_a_block_sends_each_piece_once(spark):
+    r = random.Random(6)
+    x = "".join(r.choice("abcdefgh ") for _ in range(5000))
+    sent = []
+    for copies in (2, 40):
+        df = spark.createDataFrame([(i, x) for i in range(copies)], "doc_id long, text string").coalesce(1)
+        sent.append(substrings._digests(substrings._pack(df, 1 << 30), 50, 8).agg(F.sum(F.length("digests"))).first()[0])
+    assert sent[0] == sent[1] > 0
+
+
 def test_odd_documents_removed(odd, empty):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     assert _gone(odd) == brute_removed(rows) and _gone(empty) == []
