@@ -312,3 +312,38 @@ def test_written_tables_need_a_shared_folder_on_a_cluster():
             shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master=master, applicationId="a")))
     here = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master="local[2]", applicationId="a"))
     assert shared_dir(here) == shared_dir(here)
+
+
+def _sources(spark, keys):
+    """Two sources whose keys have so many rows on either side, and rows without a key or a partner."""
+    left = [(k, i % 3, f"a{i // 2}") for k, (n, _) in keys.items() for i in range(n)] + [(None, 7, "a"), (-1, 8, "b")]
+    right = [(k, i % 4, f"b{i}") for k, (_, n) in keys.items() for i in range(n)] + [(None, 7, "c"), (-2, 9, "d")]
+    return spark.createDataFrame(left, "k int, n int, x string"), spark.createDataFrame(right, "j int, m int, z string")
+
+
+def test_correlate_shares_out_the_pairs_of_a_key(spark):
+    a, b = _sources(spark, {5: (9000, 1500), 6: (40, 30)})
+    shares = [r["count"] for r in O.correlate(a, b, [("k", "j")]).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(shares) == 9000 * 1500 + 40 * 30 and max(shares) <= 0.8 * sum(shares)
+    alone = O.correlate(a, b, [("k", "j")], "approximate")
+    shares = [r["count"] for r in alone.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(shares) == 9000 * 1500 + 40 * 30 + 4 and max(shares) <= 0.8 * sum(shares)
+
+
+@pytest.mark.parametrize("mapping", [[("k", "j")], [("k", "j"), ("n", "m")], [("k", "j"), ("k", "m")], [("n", "m")]])
+@pytest.mark.parametrize("kind", ["exact", "approximate"])
+def test_correlate_with_heavy_keys_equals_a_plain_join(spark, mapping, kind):
+    a, b = _sources(spark, {1: (3000, 50), 2: (300, 300), 3: (5, 4), 4: (0, 9)})
+    a.createOrReplaceTempView("one"), b.createOrReplaceTempView("two")
+    on = (" and " if kind == "exact" else " or ").join(f"{x} = {y}" for x, y in mapping)
+    want = spark.sql(f"select * from one {'' if kind == 'exact' else 'full'} join two on {on}")
+    found = O.correlate(a, b, mapping, kind)
+    digest = ["count(*)", "sum(hash(k, n, x, j, m, z))", "bit_xor(xxhash64(k, n, x, j, m, z))", "count(x)", "count(z)"]
+    assert found.columns == want.columns and found.selectExpr(*digest).first() == want.selectExpr(*digest).first()
+
+
+def test_self_correlation_with_a_heavy_key_and_keys_of_other_types(spark):
+    a = spark.range(700).selectExpr("id", "id % 2 as k", "map(id, id) as m")
+    found = O.self_correlate(a, ["k"]).toDF("one", "k", "m", "other", "k2", "m2")
+    assert found.select("one", "other").distinct().count() == found.count() == 2 * 350 * 350
+    assert O.correlate(a, a.selectExpr("string(k) as j"), [("k", "j")]).count() == 2 * 350 * 350
