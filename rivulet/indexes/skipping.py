@@ -107,9 +107,15 @@ def recommend(df: DataFrame, partitions: Sequence[str] = ()) -> dict[str, str]:
 
 
 def build(df: DataFrame, columns: Mapping[str, str | tuple[str, int]]) -> DataFrame:
-    """One row for each file of ``df`` (a table of files): its path and the sketches of the columns."""
+    """One row for each file of ``df`` (a table of files): its path and the sketches of the columns.
+
+    Bitmaps alone would make Spark sort all rows of a task by path; with a set among the aggregates
+    (of one constant, and asked for, so that it stays) it holds the sketches of a task's files instead.
+    """
     sketches = _sketches(columns)
-    return df.groupBy(F.col("_metadata.file_path").alias("file_path")).agg(*[a for s in sketches for a in s.aggregates()])
+    one = F.collect_set(F.lit(True)).alias("__one")
+    index = df.groupBy(F.col("_metadata.file_path").alias("file_path")).agg(*[a for s in sketches for a in s.aggregates()], one)
+    return index.where(F.size("__one") == 1).drop("__one")
 
 
 def _sketches(columns: Mapping[str, str | tuple[str, int]]) -> list[Sketch]:

@@ -11,14 +11,22 @@ from rivulet.scratch import new_place
 from rivulet.streaming import refresh_view, tumble
 
 
+_FILE_ROWS = 500_000  # meant for a file of a table that is laid out by ranges
+
+
 def _place(t: Tables, name: str) -> str:
     return new_place(t.spark, name)
 
 
+def _by_ranges(df: DataFrame, column: str) -> DataFrame:
+    """As many ranges as the rows need, so that files and tasks stay of one size; counting reads footers only."""
+    return df.repartitionByRange(max(8, -(-df.count() // _FILE_ROWS)), column)
+
+
 @query("SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem WHERE l_orderkey >= 100 AND l_orderkey < 200 AND l_returnflag = 'A'")
 def skipping_read(t: Tables) -> DataFrame:
     place = _place(t, "skipping")
-    t.lineitem.repartitionByRange(8, "l_orderkey").write.parquet(f"{place}/table")
+    _by_ranges(t.lineitem, "l_orderkey").write.parquet(f"{place}/table")
     columns = {"l_orderkey": "MIN_MAX", "l_returnflag": "VALUE_SET", "l_partkey": "BLOOM_FILTER"}
     skipping.build(t.spark.read.parquet(f"{place}/table"), columns).write.parquet(f"{place}/index")
     index = t.spark.read.parquet(f"{place}/index")
@@ -29,7 +37,7 @@ def skipping_read(t: Tables) -> DataFrame:
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IN (17, 42)")
 def skipping_bloom(t: Tables) -> DataFrame:
     place = _place(t, "bloom")
-    t.lineitem.repartitionByRange(8, "l_partkey").write.parquet(f"{place}/table")
+    _by_ranges(t.lineitem, "l_partkey").write.parquet(f"{place}/table")
     columns = {"l_partkey": "BLOOM_FILTER"}
     skipping.build(t.spark.read.parquet(f"{place}/table"), columns).write.parquet(f"{place}/index")
     index = t.spark.read.parquet(f"{place}/index")

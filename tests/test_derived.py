@@ -5,10 +5,12 @@ import uuid
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from oracle import assert_same
 from pyspark.sql import functions as F
 
 from rivulet.indexes import covering, skipping
 from rivulet.indexes.registry import Registry
+from rivulet.plans import QUERIES, SQL, derived
 from rivulet.sources import geo_point, read_documents, spark_schema, store_mapping, write_documents
 from rivulet.streaming import refresh_index, refresh_view, tumble
 
@@ -105,3 +107,24 @@ def test_documents_round_trip(spark, place):
 def test_geo_points(spark):
     df = spark.createDataFrame([("40.5,-70",), ("POINT (-70 40.5)",), ("somewhere",), (None,)], "p string")
     assert [tuple(r[0]) if r[0] else None for r in df.select(geo_point("p")).collect()] == [(40.5, -70.0), (40.5, -70.0), None, None]
+
+
+def test_bitmaps_are_built_without_sorting_the_rows(spark, place):
+    spark.range(20_000).selectExpr("id", "string(id % 7) as s").repartitionByRange(3, "id").write.parquet(f"{place}/table")
+    table = spark.read.parquet(f"{place}/table")
+    index = skipping.build(table, {"id": "BLOOM_FILTER"})
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" in plan and "SortAggregate" not in plan
+    bits = table.groupBy("_metadata.file_path").agg(*skipping.Sketch("id", "BLOOM_FILTER").aggregates())
+    assert index.columns == bits.columns
+    assert sorted(map(tuple, index.collect())) == sorted(map(tuple, bits.collect()))
+
+
+@pytest.mark.parametrize("name", ["skipping_read", "skipping_bloom"])
+def test_files_of_skipping_queries_do_not_grow_with_the_table(spark, sf_dir, place, monkeypatch, name):
+    monkeypatch.setattr(derived, "_FILE_ROWS", 200, raising=False)
+    monkeypatch.setattr(derived, "_place", lambda t, name: place)
+    assert_same(QUERIES[name](spark, sf_dir), SQL[name], sf_dir)
+    files = spark.read.parquet(f"{place}/table").groupBy("_metadata.file_path").count()
+    assert files.agg({"count": "max"}).first()[0] <= 400
+    assert files.agg({"count": "sum"}).first()[0] == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
