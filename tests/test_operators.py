@@ -342,6 +342,39 @@ def test_correlate_with_heavy_keys_equals_a_plain_join(spark, mapping, kind):
     assert found.columns == want.columns and found.selectExpr(*digest).first() == want.selectExpr(*digest).first()
 
 
+@pytest.mark.parametrize("mapping", [[("k", "j")], [("k", "j"), ("n", "m")]])
+def test_correlate_with_many_blocks_equals_a_plain_join(spark, monkeypatch, mapping):
+    for name, value in {"_HEAVY": 50, "_RUN": 3, "_HELD": 12, "_STREAMED": 40, "_CELL": 100}.items():
+        monkeypatch.setattr(f"rivulet.operators.joins.{name}", value)
+    a, b = _sources(spark, {1: (300, 50), 2: (60, 90), 3: (5, 4), 4: (0, 9), 5: (1, 400), 6: (400, 1)})
+    b = b.unionAll(spark.range(200).selectExpr("int(2)", "int(1)", "'alike'")).selectExpr("*", "map(m, z) as map", "array(z, z) as list")
+    a.createOrReplaceTempView("one"), b.createOrReplaceTempView("two")
+    want = spark.sql(f"select * from one join two on {' and '.join(f'{x} = {y}' for x, y in mapping)}")
+    digest = ["count(*)", "sum(hash(k, n, x, j, m, z, list))", "bit_xor(xxhash64(k, n, x, j, m, z, list))", "sum(hash(map[m]))"]
+    assert O.correlate(a, b, mapping).selectExpr(*digest).first() == want.selectExpr(*digest).first()
+
+
+def test_blocks_of_wide_rows_hold_fewer_of_them(spark, monkeypatch):
+    from rivulet.operators import joins
+
+    saved, save = [], joins.save
+    monkeypatch.setattr(joins, "save", lambda df, name: saved.append(save(df, name)) or saved[-1])
+    wide = spark.range(600).selectExpr("id", "1 as j", "repeat(char(65 + id % 26), 20000) as text", "array(id) as list")
+    found = O.correlate(spark.range(200).selectExpr("id as i", "1 as k"), wide, [("k", "j")]).select("i", "id", "text")
+    assert found.selectExpr("count(distinct i, id)", "sum(length(text))").first() == (200 * 600, 200 * 600 * 20000)
+    assert saved[0].first()["__held"] >= 600 * 20000 // joins._HELD_BYTES
+
+
+def test_written_pairs_take_little_room(spark, tmp_path):
+    """Partners come in short runs that repeat, so that files of pairs compress."""
+    n = 6000
+    pairs = O.self_correlate(spark.range(n).selectExpr("id * 7919 as id", "1 as k"), ["k"]).toDF("one", "k", "other", "k2")
+    pairs.select("one", "other").coalesce(1).write.parquet(str(tmp_path / "pairs"))
+    found = spark.read.parquet(str(tmp_path / "pairs")).selectExpr("count(*)", "sum(one)", "sum(other)").first()
+    assert tuple(found) == (n * n, 7919 * n * n * (n - 1) // 2, 7919 * n * n * (n - 1) // 2)
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.25 * n * n
+
+
 def test_self_correlation_with_a_heavy_key_and_keys_of_other_types(spark):
     a = spark.range(700).selectExpr("id", "id % 2 as k", "map(id, id) as m")
     found = O.self_correlate(a, ["k"]).toDF("one", "k", "m", "other", "k2", "m2")
