@@ -365,6 +365,12 @@ def test_blocks_of_wide_rows_hold_fewer_of_them(spark, monkeypatch):
     assert saved[0].first()["__held"] >= 600 * 20000 // joins._HELD_BYTES
 
 
+def test_correlate_goes_through_partners_in_short_runs(spark):
+    a, b = _sources(spark, {5: (9000, 1500)})
+    first = O.correlate(a, b, [("k", "j")]).select("z").limit(5000)
+    assert first.distinct().count() <= 300
+
+
 def test_written_pairs_take_little_room(spark, tmp_path):
     """Partners come in short runs that repeat, so that files of pairs compress."""
     n = 6000

@@ -1,4 +1,5 @@
 import datetime
+import re
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -37,6 +38,16 @@ def test_whole_tables_enter_the_operator(spark, sf_dir, name, column, table, key
     assert QUERIES[name](spark, sf_dir).where(f"{column} is not null").select(column).distinct().count() == want
 
 
+@pytest.mark.parametrize("name", ["correlate_exact", "correlate_approximate", "self_correlation"])
+def test_correlations_of_shared_out_keys_match_sql(spark, sf_dir, monkeypatch, name):
+    for constant, value in {"_HEAVY": 1, "_RUN": 2, "_HELD": 4, "_CELL": 20}.items():
+        monkeypatch.setattr(f"rivulet.operators.joins.{constant}", value)
+    df = QUERIES[name](spark, sf_dir)
+    sent = set(re.findall(r"collect_list\(struct\((.*?)\),", df._jdf.queryExecution().optimizedPlan().toString()))
+    assert sent and all(len(set(re.findall(r"__b\d+", x))) == 1 for x in sent)  # the partner's key, nothing else
+    assert_same(df, SQL[name], sf_dir)
+
+
 @pytest.mark.parametrize("all_", ["", "_all"])
 def test_semi_and_anti_joins_share_out_all_customers(spark, sf_dir, all_):
     parts = [QUERIES[f"join_{kind}{all_}"](spark, sf_dir).count() for kind in ("semi", "anti")]
